@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .media import text_media
 from .piece_codec import encode_digests
+from .quality import quality_scores
+from .wavelet import token_files
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,10 +22,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+
+
+def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op9_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_wavelet_tokens, op4_quality_ranking, op9_media_columns)}
 
 ORACLE_SQL: dict[str, str] = {}
