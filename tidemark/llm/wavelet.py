@@ -3,7 +3,7 @@
 A shard is one file (one binary row of a Parquet table in the shared folder)
 that holds the token ids of consecutive documents:
 
-    magic "WVLM", levels uint32, tokens uint64, documents uint64, first_token uint64
+    magic "WVLM", levels uint32, tokens uint64, documents uint64, tokens before it in its part uint64
     zeros of each level, uint64
     doc_id of each document, int64; first token of each document in the shard, uint64
     for each level: bit-plane words uint64, then ranks before each word uint64
@@ -40,7 +40,6 @@ from .common import scratch, texts
 MAGIC, HEAD, MEMO = b"WVLM", 32, 200_000
 #: Text bytes and documents that a shard takes; a longer document has a shard of its own.
 SHARD_BYTES, SHARD_DOCS = 4_000_000, 65_536
-_BITS = np.array([bin(i).count("1") for i in range(65536)], np.uint8)
 _ODD = re.compile(r"\s | \s|^ | $")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -200,13 +199,13 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, partit
 
         part, shard, memo = TaskContext.get().partitionId(), 0, piece_memo(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        ids, doc_ids, counts, size = [], [], [], 0
+        ids, doc_ids, counts, size, before = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             flat = np.frombuffer(b"".join(ids), "<u4")
             starts = np.cumsum([0, *counts[:-1]])
             levels = max(memo.levels, int(end_id).bit_length())
-            file = pack(WaveletMatrix.build(flat, levels), np.array(doc_ids, np.int64), starts)
+            file = pack(WaveletMatrix.build(flat, levels), np.array(doc_ids, np.int64), starts, before)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([file], pa.binary())], ["part", "shard", "n_tokens", "file"])
 
         for big in batches:
@@ -218,6 +217,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, partit
                     one = b"".join([next(flat) for _ in p]) + end
                     if ids and (size + len(one) > SHARD_BYTES or len(ids) >= SHARD_DOCS):
                         yield flush()
+                        before += sum(counts)
                         ids, doc_ids, counts, size, shard = [], [], [], 0, shard + 1
                     ids.append(one)
                     doc_ids.append(NULL_ID if doc_id is None else doc_id)
@@ -236,27 +236,26 @@ NULL_ID = -(2**63)
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, in the order of the files."""
     files = spark.read.parquet(path)
-    # one row per shard: how many tokens come before it, from counts alone
-    rows = sorted((r.part, r.shard, r.n_tokens) for r in files.select("part", "shard", "n_tokens").toLocalIterator())
-    before, total = [], 0
-    for part, shard, n in rows:
-        before.append((part, shard, total))
-        total += n
-    first = spark.createDataFrame(before, "part int, shard int, first long")
+    # a file says how many tokens precede it in its part; one sum per part, as many as the writer had tasks, gives the rest
+    sums = {r.part: r.n for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
+    base, total = {}, 0
+    for part in sorted(sums):
+        base[part] = total
+        total += sums[part]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, base in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                matrix, ids, starts, _ = unpack(file.as_buffer().to_pybytes())
+            for file, part in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                matrix, ids, starts, first = unpack(file.as_buffer().to_pybytes())
+                first += base[part]
                 flat = matrix.read().astype("<u4").tobytes()
                 cuts = [*starts.tolist(), matrix.n]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([None if i == NULL_ID else i for i in ids.tolist()], pa.int64()), pa.array([base + x for x in cuts[:-1]], pa.int64()), pa.array(np.diff(cuts), pa.int64()),
+                    pa.array([None if i == NULL_ID else i for i in ids.tolist()], pa.int64()), pa.array([first + x for x in cuts[:-1]], pa.int64()), pa.array(np.diff(cuts), pa.int64()),
                     pa.array([zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.int64()),
                 ], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # F.broadcast: a row of three numbers per shard of megabytes
-    return files.join(F.broadcast(first), ["part", "shard"]).select("file", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("file", "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
