@@ -8,6 +8,7 @@ from .common import table
 from .media import text_media
 from .piece_codec import encode_digests
 from .quality import quality_scores
+from .simhash import near_duplicates
 from .wavelet import token_files
 
 
@@ -30,10 +31,14 @@ def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_wavelet_tokens, op4_quality_ranking, op9_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_wavelet_tokens, op4_quality_ranking, op5_simhash_pivots, op9_media_columns)}
 
 ORACLE_SQL: dict[str, str] = {}
