@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import contamination
 from .media import text_media
 from .piece_codec import encode_digests
 from .pii_crf import find
@@ -40,10 +41,14 @@ def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_wavelet_tokens, op4_quality_ranking, op5_simhash_pivots, op6_pii_crf, op9_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_wavelet_tokens, op4_quality_ranking, op5_simhash_pivots, op6_pii_crf, op8_decontamination, op9_media_columns)}
 
 ORACLE_SQL: dict[str, str] = {}
