@@ -11,6 +11,7 @@ from .piece_codec import encode_digests
 from .pii_crf import find
 from .quality import quality_scores
 from .simhash import near_duplicates
+from .suffix_dedup import dedup_digests
 from .wavelet import token_files
 
 
@@ -49,6 +50,10 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_wavelet_tokens, op4_quality_ranking, op5_simhash_pivots, op6_pii_crf, op8_decontamination, op9_media_columns)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_wavelet_tokens, op4_quality_ranking, op5_simhash_pivots, op6_pii_crf, op8_decontamination, op9_media_columns, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
