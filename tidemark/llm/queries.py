@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contamination
+from .maxent_lm import lm_scores
 from .media import text_media
 from .piece_codec import encode_digests
 from .pii_crf import find
@@ -42,6 +43,10 @@ def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -54,6 +59,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_wavelet_tokens, op4_quality_ranking, op5_simhash_pivots, op6_pii_crf, op8_decontamination, op9_media_columns, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_wavelet_tokens, op4_quality_ranking, op5_simhash_pivots, op6_pii_crf, op7_maxent_lm, op8_decontamination, op9_media_columns, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
