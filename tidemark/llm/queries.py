@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contamination
+from .html_template import extract
 from .maxent_lm import lm_scores
 from .media import text_media
 from .piece_codec import encode_digests
@@ -27,6 +28,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
@@ -59,6 +64,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_wavelet_tokens, op4_quality_ranking, op5_simhash_pivots, op6_pii_crf, op7_maxent_lm, op8_decontamination, op9_media_columns, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_html_template, op3_wavelet_tokens, op4_quality_ranking, op5_simhash_pivots, op6_pii_crf, op7_maxent_lm, op8_decontamination, op9_media_columns, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
