@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import texts
 
@@ -154,6 +155,24 @@ def encode_digests(docs: DataFrame, model: str, verify: str = "stretches") -> Da
     return texts(docs).mapInArrow(_coder(model, verify, digest=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def append_ids(docs: DataFrame, model: str) -> DataFrame:
+    """All columns of docs, ids (array of int; null text: none) and n_tokens long; the text becomes what the ids decode to."""
+    schema = docs.withColumn("ids", F.array(F.lit(0))).withColumn("n_tokens", F.lit(0).cast("long")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model)
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                b = big.slice(at, 256)
+                body = b.column(b.schema.get_field_index("text")).to_pylist()
+                ids = c.encode_batch([t or "" for t in body])
+                cols = dict(zip(b.schema.names, b.columns, strict=True))
+                cols["text"] = pa.array([None if t is None else c.sp.decode(x) if x else "" for t, x in zip(body, ids, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())], [*cols, "ids", "n_tokens"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def _coder(model: str, verify: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)

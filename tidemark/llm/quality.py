@@ -137,14 +137,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[float(v) for v in features(t)] for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["quality", "x"])
 
 
-def score_quality(docs: DataFrame, model: Ranker) -> DataFrame:
-    """All columns of docs and score double."""
-    schema = docs.withColumn("score", F.lit(0.0)).schema
+def score_quality(docs: DataFrame, model: Ranker, name: str = "score") -> DataFrame:
+    """All columns of docs and the score, a double, in a column of that name."""
+    schema = docs.withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([features(t or "") for t in b.column(b.schema.get_field_index("text")).to_pylist()], float).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x))], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x))], [*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 

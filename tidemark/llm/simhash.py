@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, texts
+from .common import LOWER, cut, scratch, texts
 from .components import components
 
 RADIUS, BLOCKS, PIVOTS, TILE = 4, 6, 24, 65_536
@@ -232,3 +232,66 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS, block
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.select("fp", "component").join(smallest, "component").select("fp", "component_id")
     return every.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For deduplication by similarity: words of the shingles that fingerprints are made of, bits within which candidates
+#: are sought, blocks for it; words of the shingles that are compared, and least Jaccard similarity of them.
+PRINT_WIDTH, SEARCH_RADIUS, SEARCH_BLOCKS, WIDTH, SIMILARITY = 2, 7, 10, 5, 0.8
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets of shingle hashes; two empty ones are equal."""
+    a, b = np.unique(a), np.unique(b)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    either = len(a) + len(b) - both
+    return both / either if either else 1.0
+
+
+def similar_links(bodies: DataFrame, edges: DataFrame, width: int, least: float) -> DataFrame:
+    """The edges (a, b: ids of bodies) whose texts are similar enough; bodies: id, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                b = big.slice(at, 256)
+                memo: dict[str, np.ndarray] = {}
+                for t in {*b.column(2).to_pylist(), *b.column(3).to_pylist()}:
+                    memo[t] = shingle_hashes(t, width)
+                ok = pa.array([jaccard(memo[x], memo[y]) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([c.filter(ok) for c in b.columns[:2]], ["a", "b"])
+
+    left = edges.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+    return left.join(bodies.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+
+
+def keep_representatives(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, print_width: int = PRINT_WIDTH, radius: int = SEARCH_RADIUS, blocks: int = SEARCH_BLOCKS) -> DataFrame:
+    """One row of each group of near copies, that of the smallest doc_id (nulls last), all columns kept.
+
+    Equal texts (null counts as empty) are one to begin with. Fingerprints within
+    the radius propose links between different texts; a link holds if the exact
+    similarity of the texts' shingles is large enough; groups are the components.
+    An edited word changes fewer short shingles than long ones, so fingerprints are
+    made of shorter ones than those that are compared.
+    """
+    named = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("rank"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    path = scratch(docs.sparkSession, "distinct-texts")
+    named.groupBy("id").agg(F.min("rank").alias("rank"), F.min_by("row", "rank").alias("row")).write.parquet(path)
+    one = docs.sparkSession.read.parquet(path)
+    bodies = one.select("id", F.coalesce("row.text", F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(shingle_hashes(t, print_width)) for t in b.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+
+    prints = cut(bodies.mapInArrow(run, "id string, fp long"))
+    first = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    found = links(first.select("fp"), radius, blocks)
+    ends = first.withColumnsRenamed({"fp": "a", "first": "p"}), first.withColumnsRenamed({"fp": "b", "first": "q"})
+    across = found.join(ends[0], "a").join(ends[1], "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    within = prints.join(first, "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    vertex = components(similar_links(bodies, across.unionByName(within), width, least))
+    ranked = vertex.join(one.select(F.col("id").alias("vertex"), "rank"), "vertex")
+    least_of = ranked.groupBy("component").agg(F.min(F.struct("rank", "vertex")).alias("best"))
+    losers = ranked.join(least_of, "component").where("vertex <> best.vertex").select(F.col("vertex").alias("id"))
+    return one.join(losers, "id", "left_anti").select("row.*")
