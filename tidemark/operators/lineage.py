@@ -16,8 +16,12 @@ from ..functions.expressions import identity, node_id
 #: Edge types and their categories; fixed values.
 CATEGORIES = {"ingested_to": "DATA_FLOW", "published_to": "DATA_FLOW", "replayed_to": "DATA_FLOW", "transformed_by": "TRANSFORMATION", "evaluated_by": "EVALUATION", "references": "DATA_RELATIONSHIP"}
 FLOWS = (("source", "raw", "ingested_to"), ("raw", "trusted", "published_to"), ("trusted", "snapshot", "replayed_to"))
+#: Columns of a node.
 NODE = ["node_id", "node_type", "zone", "asset", "column_name", "semantic_id"]
-NONE = F.lit(None).cast("string")
+
+
+def _none():
+    return F.lit(None).cast("string")
 
 
 def _asset(zone, asset="asset"):
@@ -31,14 +35,14 @@ def _column(zone, asset="asset", column="column_name"):
 def nodes(assets: DataFrame, rules: DataFrame, policies: DataFrame, relationships: DataFrame) -> DataFrame:
     """Assets in four zones, rules with their columns in three, policies with theirs in two, and endpoints of relationships."""
     zoned = assets.select("asset", F.explode(F.array(*map(F.lit, ("source", "raw", "trusted", "snapshot")))).alias("zone"))
-    of_assets = zoned.select(_asset(F.col("zone")).alias("node_id"), F.lit("asset").alias("node_type"), "zone", "asset", NONE.alias("column_name"), NONE.alias("semantic_id"))
-    of_rules = rules.select(node_id("rule", F.col("rule_id")).alias("node_id"), F.lit("dq_rule").alias("node_type"), NONE.alias("zone"), "asset", "column_name", F.col("rule_id").alias("semantic_id"))
-    of_policies = policies.select(node_id("policy", F.col("policy_id")).alias("node_id"), F.lit("standardization_policy").alias("node_type"), NONE.alias("zone"), "asset", "column_name", F.col("policy_id").alias("semantic_id"))
+    of_assets = zoned.select(_asset(F.col("zone")).alias("node_id"), F.lit("asset").alias("node_type"), "zone", "asset", _none().alias("column_name"), _none().alias("semantic_id"))
+    of_rules = rules.select(node_id("rule", F.col("rule_id")).alias("node_id"), F.lit("dq_rule").alias("node_type"), _none().alias("zone"), "asset", "column_name", F.col("rule_id").alias("semantic_id"))
+    of_policies = policies.select(node_id("policy", F.col("policy_id")).alias("node_id"), F.lit("standardization_policy").alias("node_type"), _none().alias("zone"), "asset", "column_name", F.col("policy_id").alias("semantic_id"))
     placed = rules.select("asset", "column_name", F.explode(F.array(*map(F.lit, ("raw", "trusted", "snapshot")))).alias("zone"))
     placed = placed.unionByName(policies.select("asset", "column_name", F.explode(F.array(F.lit("raw"), F.lit("trusted"))).alias("zone")))
     for side in ("from", "to"):
         placed = placed.unionByName(relationships.select(F.col(f"{side}_asset").alias("asset"), F.col(f"{side}_column").alias("column_name"), F.lit("logical").alias("zone")))
-    of_columns = placed.distinct().select(_column(F.col("zone")).alias("node_id"), F.lit("column").alias("node_type"), "zone", "asset", "column_name", NONE.alias("semantic_id"))
+    of_columns = placed.distinct().select(_column(F.col("zone")).alias("node_id"), F.lit("column").alias("node_type"), "zone", "asset", "column_name", _none().alias("semantic_id"))
     return of_assets.unionByName(of_rules).unionByName(of_policies).unionByName(of_columns).select(*NODE)
 
 
@@ -46,12 +50,12 @@ def edges(assets: DataFrame, rules: DataFrame, policies: DataFrame, relationship
     """Flow, evaluation, transformation and reference edges; equal endpoints of relationships are one edge with all their evidence."""
     flow = None
     for a, b, kind in FLOWS:
-        part = assets.select(_asset(F.lit(a)).alias("source_node_id"), _asset(F.lit(b)).alias("target_node_id"), F.lit(kind).alias("edge_type"), NONE.alias("context_node_id"), "evidence")
+        part = assets.select(_asset(F.lit(a)).alias("source_node_id"), _asset(F.lit(b)).alias("target_node_id"), F.lit(kind).alias("edge_type"), _none().alias("context_node_id"), "evidence")
         flow = part if flow is None else flow.unionByName(part)
     placed = rules.select("*", F.explode(F.array(*map(F.lit, ("raw", "trusted", "snapshot")))).alias("zone"))
-    evaluation = placed.select(_column(F.col("zone")).alias("source_node_id"), node_id("rule", F.col("rule_id")).alias("target_node_id"), F.lit("evaluated_by").alias("edge_type"), NONE.alias("context_node_id"), "evidence")
+    evaluation = placed.select(_column(F.col("zone")).alias("source_node_id"), node_id("rule", F.col("rule_id")).alias("target_node_id"), F.lit("evaluated_by").alias("edge_type"), _none().alias("context_node_id"), "evidence")
     transformation = policies.select(_column(F.lit("raw")).alias("source_node_id"), _column(F.lit("trusted")).alias("target_node_id"), F.lit("transformed_by").alias("edge_type"), node_id("policy", F.col("policy_id")).alias("context_node_id"), "evidence")
-    reference = relationships.select(_column(F.lit("logical"), "from_asset", "from_column").alias("source_node_id"), _column(F.lit("logical"), "to_asset", "to_column").alias("target_node_id"), F.lit("references").alias("edge_type"), NONE.alias("context_node_id"), "evidence")
+    reference = relationships.select(_column(F.lit("logical"), "from_asset", "from_column").alias("source_node_id"), _column(F.lit("logical"), "to_asset", "to_column").alias("target_node_id"), F.lit("references").alias("edge_type"), _none().alias("context_node_id"), "evidence")
     every = flow.unionByName(evaluation).unionByName(transformation).unionByName(reference)
     keys = ["source_node_id", "target_node_id", "edge_type", "context_node_id"]
     merged = every.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("refs"))
