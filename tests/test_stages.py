@@ -173,3 +173,14 @@ def test_profile_tells_empty_from_null(spark, project, tmp_path):
     (tmp_path / "bad.asc").write_bytes(b"id;value\n1;2;3\n")
     with pytest.raises(Exception):  # noqa: B017
         delimited.scan(spark, tmp_path / "bad.asc", ["id", "value"], delimited.Format()).count()
+
+
+def test_new_records_rebuild_the_history(spark, project, tmp_path):
+    from tidemark.streaming.history import watch
+
+    p, source = project
+    stages.ingest(p, source)
+    for n in (1, 2):
+        assert stages.check_quality(spark, p)["status"] == "SUCCESS"
+        watch(spark, p, tmp_path / "stream").awaitTermination(120)
+        assert spark.read.parquet(str(p.path("data/observability/dq_runs"))).count() == n
