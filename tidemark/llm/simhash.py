@@ -13,8 +13,8 @@ so each fingerprint is sent once for each choice of that many blocks, and no
 pair is missed. Within a key, sorted runs are compared by pivots. A dense key is
 treated by its own members as pivots: members within the radius of one are linked
 to it at once, and only pairs not yet connected are compared, in row blocks. A key
-of more than ``tile`` members is dealt out as pairs of tiles, each in a task of
-bounded size. Only links that connect something new leave a task, so a group of
+of more than about ``tile`` members, as a sample tells, is dealt out as pairs of
+tiles, each in a task of bounded size. Only links that connect something new leave a task, so a group of
 copies yields as many links as members and not all its pairs; no link between
 different components of the result is lost.
 
@@ -38,8 +38,8 @@ from .common import LOWER, cut, scratch, texts
 from .components import components
 
 RADIUS, BLOCKS, PIVOTS, TILE = 4, 6, 24, 65_536
-#: Rows of a key up to which all its pairs are compared by shifts.
-SMALL = 48
+#: Rows of a key up to which all its pairs are compared by shifts; one fingerprint in how many is sampled for dense keys.
+SMALL, SAMPLE = 48, 64
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -204,6 +204,15 @@ def _links(radius: int, count: int):
     return run
 
 
+#: Bytes up to which a list of ids is sent to all tasks, after a count; beyond, it is joined by a shuffle. Bytes of an id there.
+SENT, ID_BYTES = 64_000_000, 64
+
+
+def sent_if_small(ids: DataFrame, size: int) -> DataFrame:
+    """Broadcast a list whose size has been counted, if it is within the bound."""
+    return F.broadcast(ids) if size <= SENT else ids
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, count: int = PIVOTS, tile: int = TILE) -> DataFrame:
     """a, b: pairs of fingerprints of column fp within the radius that connect all that are connected."""
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
@@ -211,14 +220,18 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, count
     signed = lambda m: m - 2**64 if m >= 2**63 else m
     # a key is a hash of choice and bits; two keys in one run would only add comparisons
     keyed = distinct.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)])).alias("key"))
-    large = keyed.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    # at most rows * choices / tile keys are that large; most often there is none
-    dealt = keyed.join(large, "key", "left")
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    pairs = F.when(F.col("tiles").isNull(), F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(2).alias("side")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), F.when(own == o, F.lit(2)).when(own < o, F.lit(0)).otherwise(F.lit(1)).alias("side")))
-    )
-    rows = dealt.select("key", "fp", F.explode(pairs).alias("p")).select(F.when(F.col("p.i") < 0, F.col("key")).otherwise(F.xxhash64("key", "p.i", "p.j")).alias("key"), F.col("p.side").alias("side"), "fp")
+    # dense keys show in a sample of the fingerprints; one that does not is a larger run for its task, and loses nothing
+    some = keyed.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(SAMPLE)) == 0).groupBy("key").count()
+    large = cut(some.where(F.col("count") * 4 * SAMPLE > tile).select("key", (F.ceil(F.col("count") * SAMPLE / tile) + 1).cast("int").alias("tiles")))
+    if dense := large.count():
+        own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+        side = lambda o: F.when(own == o, F.lit(2)).when(own < o, F.lit(0)).otherwise(F.lit(1))
+        alone = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(2).alias("side")))
+        tiles = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), side(o).alias("side")))
+        dealt = keyed.join(sent_if_small(large, dense * ID_BYTES), "key", "left").select("key", "fp", F.explode(F.when(F.col("tiles").isNull(), alone).otherwise(tiles)).alias("p"))
+        rows = dealt.select(F.when(F.col("p.i") < 0, F.col("key")).otherwise(F.xxhash64("key", "p.i", "p.j")).alias("key"), F.col("p.side").alias("side"), "fp")
+    else:
+        rows = keyed.select("key", F.lit(2).alias("side"), "fp")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "key").sortWithinPartitions("key", "side").select("key", "side", "fp").mapInArrow(_links(radius, count), "a long, b long").distinct()
 
@@ -260,6 +273,9 @@ def similar_links(bodies: DataFrame, edges: DataFrame, width: int, least: float)
                 ok = pa.array([jaccard(memo[x], memo[y]) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([c.filter(ok) for c in b.columns[:2]], ["a", "b"])
 
+    # texts without a link stay where they are while the ids of those with one are few enough to be sent to them
+    ends = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    bodies = bodies.join(sent_if_small(ends, edges.count() * 2 * ID_BYTES), "id", "left_semi")
     left = edges.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
     return left.join(bodies.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
 
@@ -275,7 +291,7 @@ def keep_representatives(docs: DataFrame, width: int = WIDTH, least: float = SIM
     """
     named = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("rank"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     path = scratch(docs.sparkSession, "distinct-texts")
-    named.groupBy("id").agg(F.min("rank").alias("rank"), F.min_by("row", "rank").alias("row")).write.parquet(path)
+    named.groupBy("id").agg(F.min("rank").alias("rank"), F.min_by("row", "rank").alias("row")).write.option("compression", "zstd").parquet(path)
     one = docs.sparkSession.read.parquet(path)
     bodies = one.select("id", F.coalesce("row.text", F.lit("")).alias("text"))
 
@@ -290,8 +306,8 @@ def keep_representatives(docs: DataFrame, width: int = WIDTH, least: float = SIM
     ends = first.withColumnsRenamed({"fp": "a", "first": "p"}), first.withColumnsRenamed({"fp": "b", "first": "q"})
     across = found.join(ends[0], "a").join(ends[1], "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
     within = prints.join(first, "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    vertex = components(similar_links(bodies, across.unionByName(within), width, least))
+    vertex = cut(components(similar_links(bodies, cut(across.unionByName(within)), width, least)))
     ranked = vertex.join(one.select(F.col("id").alias("vertex"), "rank"), "vertex")
     least_of = ranked.groupBy("component").agg(F.min(F.struct("rank", "vertex")).alias("best"))
     losers = ranked.join(least_of, "component").where("vertex <> best.vertex").select(F.col("vertex").alias("id"))
-    return one.join(losers, "id", "left_anti").select("row.*")
+    return one.join(sent_if_small(losers, vertex.count() * ID_BYTES), "id", "left_anti").select("row.*")
