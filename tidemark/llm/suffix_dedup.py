@@ -329,9 +329,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     rows = keyed(docs)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch(spark, "anchors")
-    anchors(rows, length, gram).write.parquet(path)
+    anchors(rows, length, gram).write.option("compression", "zstd").parquet(path)
     every = spark.read.parquet(path)
-    often = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that both sides of the join below are plain exchanges and a frequent anchor's rows can be split
+    every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").write.option("compression", "zstd").parquet(f"{path}-repeated")
+    often = spark.read.parquet(f"{path}-repeated")
     wanted = every.join(often, "h").select("key", F.struct("h", "run").alias("w"), (F.col("n") > hot).alias("hot"))
     splitters = sampled_splitters(rows, n, length, gram)
 
