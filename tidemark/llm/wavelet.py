@@ -37,10 +37,12 @@ from pyspark.sql import functions as F
 
 from .common import scratch, texts
 
-MAGIC, HEAD, MEMO = b"WVLM", 32, 200_000
+MAGIC, HEAD = b"WVLM", 32
+#: Pieces that a worker keeps before the older ones go.
+MEMO = 250_000
 #: Text bytes and documents that a shard takes; a longer document has a shard of its own.
 SHARD_BYTES, SHARD_DOCS = 4_000_000, 65_536
-_ODD = re.compile(r"\s | \s|^ | $")
+_ODD = re.compile(r"\s\s|^\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -152,7 +154,11 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, int]:
 
 
 class PieceMemo:
-    """Ids of texts by the tokenizers library, each distinct piece encoded once."""
+    """Ids of texts by the tokenizers library, each distinct piece encoded once.
+
+    A piece is a word with the space before it, kept under the word alone; other
+    pieces (a text's first, odd texts) are kept under a leading NUL and their whole.
+    """
 
     def __init__(self, path: str):
         import os
@@ -161,25 +167,55 @@ class PieceMemo:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.levels = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in plain]
+        self.alphabet = {x: chr(x) for x in plain} | {x: chr(256 + k) for k, x in enumerate(rest)}
+        self.space = self.alphabet[32]
+
+    def learn(self, lacking: list[str]) -> list[bytes]:
+        """Ids of some pieces. A word in letters is one stretch for the pre-tokenizer and goes to the model at once."""
+        out: list[bytes | None] = [None] * len(lacking)
+        other = []
+        for k, x in enumerate(lacking):
+            if x.isalpha():
+                out[k] = np.array([t.id for t in self.model.tokenize(self.space + x.encode().decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
+            else:
+                other.append(k)
+        # an ordinary word's piece has a leading space; NUL marks all others
+        for k, e in zip(other, self.tokenizer.encode_batch_fast([lacking[k][1:] if lacking[k][:1] == "\0" else " " + lacking[k] for k in other], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def encode(self, pieces: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each piece."""
-        memo, lacking = self.memo, list({x for x in pieces if x not in self.memo})
-        if lacking:
-            if len(memo) > MEMO:
-                memo.clear()
-                lacking = list(set(pieces))
-            memo.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(lacking, self.tokenizer.encode_batch_fast(lacking, add_special_tokens=False), strict=True))
-        return [memo[x] for x in pieces]
+        memo = self.memo
+        out = list(map(memo.get, pieces))
+        holes = [k for k, x in enumerate(out) if x is None]
+        if holes:
+            new = {pieces[k]: None for k in holes}
+            kept = {x: self.old[x] for x in new if x in self.old}
+            lacking = [x for x in new if x not in kept]
+            kept.update(zip(lacking, self.learn(lacking), strict=True))
+            for k in holes:
+                out[k] = kept[pieces[k]]
+            memo.update(kept)
+            if len(memo) > MEMO:  # what was used lately outlives one change of generation
+                self.old, self.memo = memo, {}
+        return out
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        """Parts with the space before them; only a single space between two visible characters is cut at."""
-        if _ODD.search(text):
-            return (p := _CUT.split(text))[:1] + [" " + x for x in p[1:]]
-        return (p := text.split(" "))[:1] + [" " + x for x in p[1:]]
+        """Parts as they are kept; only a single space between two visible characters is cut at."""
+        p = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+        p[0] = "\0" + p[0]
+        if "\0" in text:  # a word that begins with NUL would be taken for another kind of piece
+            p[1:] = ["\0 " + x if x[:1] == "\0" else x for x in p[1:]]
+        return p
 
 
 @lru_cache(maxsize=2)
@@ -212,9 +248,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, partit
             for at in range(0, big.num_rows, 256):
                 b = big.slice(at, 256)
                 parts = [memo.pieces(t) if t else [] for t in b.column(1).to_pylist()]
-                flat = iter(memo.encode([x for p in parts for x in p]))
+                flat, a = memo.encode([x for p in parts for x in p]), 0
                 for doc_id, p in zip(b.column(0).to_pylist(), parts, strict=True):
-                    one = b"".join([next(flat) for _ in p]) + end
+                    one = b"".join(flat[a : a + len(p)]) + end
+                    a += len(p)
                     if ids and (size + len(one) > SHARD_BYTES or len(ids) >= SHARD_DOCS):
                         yield flush()
                         before += sum(counts)
