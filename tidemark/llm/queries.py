@@ -66,4 +66,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_html_template, op3_wavelet_tokens, op4_quality_ranking, op5_simhash_pivots, op6_pii_crf, op7_maxent_lm, op8_decontamination, op9_media_columns, op10_suffix_dedup)}
 
+#: None of the ten can be said in SQL (hashes, models, files, byte-wise joins); tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {}
