@@ -48,13 +48,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove an intermediate table through Hadoop's file system, whatever store it is in."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def held_out(doc_id, folds: int, fold: int = 2):
     """crc32(doc_id as text) mod folds = fold; a null doc_id counts as false."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
