@@ -161,10 +161,6 @@ def check_quality(spark: SparkSession, project: Project, zone: str = "raw", path
     return recorded(project, "dq", "", head, work)
 
 
-def _joined(df: DataFrame, raw: str, ending: str) -> list[str]:
-    return [r[0] for r in df.orderBy("_line_no").select(raw).toLocalIterator()]
-
-
 def _write_lines(head: bytes, df: DataFrame, column: str, source: Path, target: Path) -> None:
     """Lines in their order, streamed; the last line ends as the source's does."""
     with open(source, "rb") as f:
