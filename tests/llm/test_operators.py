@@ -193,6 +193,46 @@ def test_representatives(docs, nothing):
     assert simhash.keep_representatives(nothing).count() == 0
 
 
+def edited_copies():
+    """(doc_id, text): several hundred copies of one text with one to four words edited, and copies of those."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    base = [word() for _ in range(150)]
+    out = [base]
+    for _ in range(400):
+        copy = list(r.choice(out) if r.random() < 0.5 else base)
+        for at in r.sample(range(150), r.randint(1, 4)):
+            copy[at] = word()
+        out.append(copy)
+    r.shuffle(out)
+    return [(i, " ".join(x)) for i, x in enumerate(out)]
+
+
+def test_representatives_miss_no_candidate_of_a_dense_group(spark):
+    rows = edited_copies()
+    fps = np.array([simhash.fingerprint(simhash.shingle_hashes(t, simhash.PRINT_WIDTH)) for _, t in rows], np.uint64)
+    grams = [simhash.shingle_hashes(t, simhash.WIDTH) for _, t in rows]
+    forest = simhash.Forest(len(rows))
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= simhash.SEARCH_RADIUS).tolist():
+            if forest.root(i) != forest.root(j) and simhash.jaccard(grams[i], grams[j]) >= simhash.SIMILARITY:
+                forest.join(i, j)
+    want = sorted({forest.root(i) for i in range(len(rows))})
+    assert 1 < len(want) < len(rows)
+    assert sorted(r.doc_id for r in simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
+@pytest.mark.parametrize("tile", [10, 65_536])
+def test_pairs_between_labels_are_all_found(spark, tile):
+    r = random.Random(3)
+    centre = r.getrandbits(64)
+    flip = lambda x, k: x ^ sum(1 << b for b in r.sample(range(64), k))
+    rows = sorted({(x - 2**64 if x >= 2**63 else x, r.randint(0, 3)) for x in (flip(centre, r.randint(0, 5)) for _ in range(160))} | {(5, 1), (5, 2)})
+    want = {(*x, *y) for i, x in enumerate(rows) for y in rows[i + 1 :] if x[1] != y[1] and bin((x[0] ^ y[0]) & (2**64 - 1)).count("1") <= 4}
+    found = [tuple(x) for x in simhash.pairs_between(spark.createDataFrame(rows, "fp long, label long"), 4, 6, tile).collect()]
+    assert set(found) == want and len(found) == len(want)
+
+
 def test_base_spans_and_field(docs, nothing):
     def naive(t):
         luhn = lambda d: sum(int(c) if k % 2 == 0 else sum(map(int, str(2 * int(c)))) for k, c in enumerate(reversed(d))) % 10 == 0

@@ -151,6 +151,48 @@ def dense_links(fps: np.ndarray, table: np.ndarray, radius: int, split: int = 0)
     return out
 
 
+def dense_pairs(fps: np.ndarray, labels: np.ndarray, radius: int, split: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a key's members within the radius that have different labels, in row blocks; with split, only pairs across that position."""
+    n, step = len(fps), 512
+    for at in range(0, split or n, step):
+        rows = slice(at, min(at + step, split or n))
+        first = split or at
+        i, j = np.nonzero((labels[rows, None] != labels[None, first:]) & (np.bitwise_count(fps[rows, None] ^ fps[None, first:]) <= radius))
+        i, j = at + i, first + j
+        yield i[i < j], j[i < j]
+
+
+def _pairs(radius: int):
+    """All pairs of different labels within runs of equal keys of rows sorted by them; columns key, side, fp, label."""
+
+    def handle(side: np.ndarray, fps: np.ndarray, labels: np.ndarray) -> Iterator[pa.RecordBatch]:
+        split = 0 if side[0] == 2 else int((side == 0).sum())
+        if side[0] != 2 and not 0 < split < len(fps):
+            return
+        for i, j in dense_pairs(fps, labels, radius, split):
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fps[i].view(np.int64), labels[i], fps[j].view(np.int64), labels[j])], ["a", "la", "b", "lb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            cols = [np.asarray(batch.column(k)) for k in range(4)]
+            cols[2] = cols[2].view(np.uint64)
+            if held:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+            mixed = np.minimum.reduceat(cols[3], starts) != np.maximum.reduceat(cols[3], starts)
+            for k in np.flatnonzero(mixed[:-1]).tolist():
+                yield from handle(*[c[starts[k] : starts[k + 1]] for c in cols[1:]])
+            held = [c[starts[-1] :] for c in cols]  # the last key may go on in the next batch
+        if held and len(held[0]) > 1:
+            yield from handle(*held[1:])
+
+    return run
+
+
 def _links(radius: int, count: int):
     """Links within runs of equal (key, tile pair) of rows sorted by them; columns key, tile, side, fp."""
 
@@ -213,13 +255,14 @@ def sent_if_small(ids: DataFrame, size: int) -> DataFrame:
     return F.broadcast(ids) if size <= SENT else ids
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, count: int = PIVOTS, tile: int = TILE) -> DataFrame:
-    """a, b: pairs of fingerprints of column fp within the radius that connect all that are connected."""
+def keyed_runs(distinct: DataFrame, radius: int, blocks: int, tile: int) -> DataFrame:
+    """key, side and the columns of distinct (fp and others): rows by block key, dense keys dealt out as pairs of tiles; sorted by key and side."""
+    columns = distinct.columns
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
     masks = [sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen) for chosen in combinations(range(blocks), blocks - radius)]
     signed = lambda m: m - 2**64 if m >= 2**63 else m
     # a key is a hash of choice and bits; two keys in one run would only add comparisons
-    keyed = distinct.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)])).alias("key"))
+    keyed = distinct.select(*columns, F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(masks)])).alias("key"))
     # dense keys show in a sample of the fingerprints; one that does not is a larger run for its task, and loses nothing
     some = keyed.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(SAMPLE)) == 0).groupBy("key").count()
     large = cut(some.where(F.col("count") * 4 * SAMPLE > tile).select("key", (F.ceil(F.col("count") * SAMPLE / tile) + 1).cast("int").alias("tiles")))
@@ -228,12 +271,25 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, count
         side = lambda o: F.when(own == o, F.lit(2)).when(own < o, F.lit(0)).otherwise(F.lit(1))
         alone = F.array(F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(2).alias("side")))
         tiles = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), side(o).alias("side")))
-        dealt = keyed.join(sent_if_small(large, dense * ID_BYTES), "key", "left").select("key", "fp", F.explode(F.when(F.col("tiles").isNull(), alone).otherwise(tiles)).alias("p"))
-        rows = dealt.select(F.when(F.col("p.i") < 0, F.col("key")).otherwise(F.xxhash64("key", "p.i", "p.j")).alias("key"), F.col("p.side").alias("side"), "fp")
+        dealt = keyed.join(sent_if_small(large, dense * ID_BYTES), "key", "left").select("key", *columns, F.explode(F.when(F.col("tiles").isNull(), alone).otherwise(tiles)).alias("p"))
+        rows = dealt.select(F.when(F.col("p.i") < 0, F.col("key")).otherwise(F.xxhash64("key", "p.i", "p.j")).alias("key"), F.col("p.side").alias("side"), *columns)
     else:
-        rows = keyed.select("key", F.lit(2).alias("side"), "fp")
+        rows = keyed.select("key", F.lit(2).alias("side"), *columns)
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key", "side").select("key", "side", "fp").mapInArrow(_links(radius, count), "a long, b long").distinct()
+    return rows.repartition(n, "key").sortWithinPartitions("key", "side").select("key", "side", *columns)
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, count: int = PIVOTS, tile: int = TILE) -> DataFrame:
+    """a, b: pairs of fingerprints of column fp within the radius that connect all that are connected."""
+    return keyed_runs(distinct.select("fp"), radius, blocks, tile).mapInArrow(_links(radius, count), "a long, b long").distinct()
+
+
+def pairs_between(labelled: DataFrame, radius: int, blocks: int, tile: int = TILE) -> DataFrame:
+    """a, la, b, lb: all pairs of distinct rows (fp, label) within the radius whose labels differ, each once."""
+    found = keyed_runs(labelled.select("fp", "label"), radius, blocks, tile).mapInArrow(_pairs(radius), "a long, la long, b long, lb long")
+    turned = F.struct("b", "lb") < F.struct("a", "la")
+    pick = lambda x, y, name: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name)
+    return found.select(pick("a", "b", "a"), pick("la", "lb", "la"), pick("b", "a", "b"), pick("lb", "la", "lb")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -286,6 +342,7 @@ def keep_representatives(docs: DataFrame, width: int = WIDTH, least: float = SIM
     Equal texts (null counts as empty) are one to begin with. Fingerprints within
     the radius propose links between different texts; a link holds if the exact
     similarity of the texts' shingles is large enough; groups are the components.
+    A pair within the radius stays uncompared only if verified links join its ends.
     An edited word changes fewer short shingles than long ones, so fingerprints are
     made of shorter ones than those that are compared.
     """
@@ -301,12 +358,37 @@ def keep_representatives(docs: DataFrame, width: int = WIDTH, least: float = SIM
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     prints = cut(bodies.mapInArrow(run, "id string, fp long"))
-    first = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    found = links(first.select("fp"), radius, blocks)
-    ends = first.withColumnsRenamed({"fp": "a", "first": "p"}), first.withColumnsRenamed({"fp": "b", "first": "q"})
-    across = found.join(ends[0], "a").join(ends[1], "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
-    within = prints.join(first, "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    vertex = cut(components(similar_links(bodies, cut(across.unionByName(within)), width, least)))
+    first = prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("texts"))
+    found = cut(links(first, radius, blocks))
+    # only texts with another one within the radius go on: every such fingerprint has a link
+    ends = found.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(first.where("texts > 1").select("fp")).distinct()
+    nodes = cut(prints.join(ends, "fp", "left_semi").withColumn("label", F.xxhash64("id")))
+    ordered = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    held: DataFrame | None = None
+    tried: DataFrame | None = None
+
+    def verify(proposed: DataFrame) -> DataFrame:
+        """Compare what has not been compared; id, fp, component and its label by all verified links."""
+        nonlocal held, tried
+        fresh = cut(proposed if tried is None else proposed.join(tried, ["a", "b"], "left_anti"))
+        good = cut(similar_links(bodies, fresh, width, least))
+        held, tried = (good, fresh) if tried is None else (held.unionByName(good), tried.unionByName(fresh))
+        groups = components(held).withColumnRenamed("vertex", "id")
+        return cut(nodes.select("id", "fp").join(groups, "id", "left").select("id", "fp", "component", F.xxhash64(F.coalesce("component", "id")).alias("label")))
+
+    # first one link for each text: to the first of its fingerprint, which itself has one to its least neighbour
+    within = nodes.join(first, "fp").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    near = found.select(F.greatest("a", "b").alias("fp"), F.least("a", "b").alias("to")).groupBy("fp").agg(F.min("to").alias("to"))
+    heads = first.select("fp", "first"), first.select(F.col("fp").alias("to"), F.col("first").alias("b"))
+    labelled = verify(ordered(within.unionByName(near.join(heads[0], "fp").join(heads[1], "to").select(F.col("first").alias("a"), "b"))))
+    # then the other links whose ends no verified ones join yet
+    ends = [labelled.groupBy("fp").agg(F.min(F.struct("id", "label")).alias(c)).withColumnRenamed("fp", k) for k, c in (("a", "p"), ("b", "q"))]
+    labelled = verify(ordered(found.join(ends[0], "a").join(ends[1], "b").where("p.label <> q.label").select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))))
+    # at last every pair of texts within the radius that verified links do not join: no similar pair among the candidates is lost
+    apart = pairs_between(labelled.select("fp", "label").distinct(), radius, blocks)
+    ends = labelled.select(F.col("fp").alias("a"), F.col("label").alias("la"), F.col("id").alias("p")), labelled.select(F.col("fp").alias("b"), F.col("label").alias("lb"), F.col("id").alias("q"))
+    labelled = verify(ordered(apart.join(ends[0], ["a", "la"]).join(ends[1], ["b", "lb"]).select(F.col("p").alias("a"), F.col("q").alias("b"))))
+    vertex = labelled.where("component is not null").select(F.col("id").alias("vertex"), "component")
     ranked = vertex.join(one.select(F.col("id").alias("vertex"), "rank"), "vertex")
     least_of = ranked.groupBy("component").agg(F.min(F.struct("rank", "vertex")).alias("best"))
     losers = ranked.join(least_of, "component").where("vertex <> best.vertex").select(F.col("vertex").alias("id"))
