@@ -342,6 +342,16 @@ def test_media_round_trip(docs, nothing):
     assert media.text_media(nothing).count() == 0
 
 
+def test_media_are_read_back_from_a_table(docs, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/media"
+    monkeypatch.setattr(media, "scratch", lambda spark, name: path, raising=False)
+    got = media.text_media(docs).collect()
+    stored = docs.sparkSession.read.parquet(path).collect()
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert Counter((r.media_sha256, r.tile_sha256) for r in got) == Counter((sha(r.media), sha(r.tile)) for r in stored)
+    assert len(stored) == len(corpus())
+
+
 def test_image_formats():
     x = np.arange(12, dtype=np.uint8).reshape(3, 4) * 20
     assert (media.decode_netpbm(media.encode_pgm(x.tobytes(), 4)) == x).all()

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import scratch, texts
 
 WIDTH, TILE = 64, 32
 
@@ -156,19 +156,28 @@ def text_media(docs: DataFrame, digest: bool = True) -> DataFrame:
     extra = "" if digest else ", media binary, tile binary"
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
 
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 512):
+                b = big.slice(at, 512)
+                bodies = b.column(1).cast(pa.binary()).to_pylist()
+                media = [encode_pgm(x + bytes(-len(x) % WIDTH or WIDTH * (not x))) for x in bodies]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in bodies], pa.int64()), pa.array(media, pa.binary()), pa.array([tile(decode_netpbm(x)) for x in media], pa.binary())], ["doc_id", "n_bytes", "media", "tile"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 512):
                 b = big.slice(at, 512)
                 rows = []
-                for text in b.column(1).cast(pa.binary()).to_pylist():
-                    media = encode_pgm(text + bytes(-len(text) % WIDTH or WIDTH * (not text)))
+                for n, media, npy in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                     image = decode_netpbm(media)
-                    back, npy = image.tobytes(), tile(image)
-                    row = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), hashlib.sha256(npy).hexdigest())
+                    back = image.tobytes()
+                    row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), hashlib.sha256(npy).hexdigest())
                     rows.append(row if digest else (*row, media, npy))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()]
                 names = [x.split()[0] for x in (schema + extra).split(", ")]
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False))], names)
 
-    return texts(docs).mapInArrow(run, schema + extra)
+    path = scratch(docs.sparkSession, "media")
+    texts(docs).mapInArrow(store, "doc_id long, n_bytes long, media binary, tile binary").write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path).select("doc_id", "n_bytes", "media", "tile").mapInArrow(run, schema + extra)
