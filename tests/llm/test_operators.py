@@ -257,6 +257,17 @@ def test_base_spans_and_field(docs, nothing):
     assert pii_crf.find(nothing).count() == 0 and pii_crf.mask_documents(nothing).count() == 0
 
 
+def test_shapes_read_whole_tokens():
+    assert pii_crf.shape("a" * 500) == ("plain",)
+    assert {"mixed", "count=16"} <= set(pii_crf.shape("a" * 450 + "0123456789abcdef" * 2)) and "at" in pii_crf.shape("a" * 450 + "@b")
+    assert "quad" not in pii_crf.shape("1.2.3." + "4" * 5000) and "quad" in pii_crf.shape("1.2.3.004")
+    old = re.compile(r"[^0-9A-Za-z+(@]*(.*?)[^0-9A-Za-z)]*$", re.S)
+    r = random.Random(2)
+    for _ in range(3000):
+        word = "".join(r.choice("a0+(@).!é,") for _ in range(r.randint(1, 9)))
+        assert pii_crf.core_of(word) == old.match(word).group(1)
+
+
 def test_viterbi_is_exact():
     import itertools
 

@@ -73,12 +73,24 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 _DIGIT = re.compile(r"[0-9]")
 _HEX = re.compile(r"[0-9a-fA-F]+")
-_CORE = re.compile(r"[^0-9A-Za-z+(@]*(.*?)[^0-9A-Za-z)]*$", re.S)
+_BEGINS = re.compile(r"[0-9A-Za-z+(@]")
+_ENDS = re.compile(r"[0-9A-Za-z)]")
+
+
+def core_span(word: str) -> tuple[int, int]:
+    """Where the text between the signs around a token lies; linear in its length."""
+    first, last = _BEGINS.search(word), _ENDS.search(word[::-1])
+    return (first.start(), len(word) - last.start()) if first and last else (0, 0)
+
+
+def core_of(word: str) -> str:
+    start, end = core_span(word)
+    return word[start:end]
 
 
 def shape(word: str) -> tuple[str, ...]:
     """Word-shape features of one token; a plain word in letters has a single one."""
-    core = _CORE.match(word[:400]).group(1)
+    core = core_of(word)
     if core.isalpha() or not core:
         low = core.lower()
         return (f"cue={low}",) if low in CUES else ("plain",) if core else (f"mark={word[0]}",) if word in ("=", ":", "=>") else ("sign",)
@@ -96,7 +108,7 @@ def shape(word: str) -> tuple[str, ...]:
         out.append("plus")
     if core[0] == "(" and core[-1] == ")" and digits == n - 2:
         out.append("bracketed")
-    if core.count(".") == 3 and digits == n - 3 and all(x.isdigit() and int(x) < 256 for x in core.split(".")):
+    if core.count(".") == 3 and digits == n - 3 and all(x.isdigit() and int(x.lstrip("0")[:4] or 0) < 256 for x in core.split(".")):
         out.append("quad")
     if n >= 16 and digits and letters:
         if _HEX.fullmatch(core):
@@ -313,8 +325,8 @@ def added_spans(field: Field, bodies: list[str], known: list[list[tuple[str, int
                 u += 1
             start, end = places[t][0], places[u][1]
             piece = bodies[i][start:end]
-            core = _CORE.match(piece)
-            start, end = start + core.start(1), start + core.end(1)
+            first, last = core_span(piece)
+            start, end = start + first, start + last
             if start < end and not any(x < end and start < y for _, x, y in known[i]):
                 out[i].append((LABELS[own[t]], start, end))
             t = u + 1
