@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.llm import decontaminate, html_template, maxent_lm, media, pii_crf, piece_codec, quality, simhash, suffix_dedup, wavelet
+from tidemark.llm import decontaminate, html_template, maxent_lm, media, pii_crf, piece_codec, prefix_join, quality, simhash, suffix_dedup, wavelet
 from tidemark.llm.queries import QUERIES, tokenizer_path
 
 LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -208,29 +208,56 @@ def edited_copies():
     return [(i, " ".join(x)) for i, x in enumerate(out)]
 
 
-def test_representatives_miss_no_candidate_of_a_dense_group(spark):
-    rows = edited_copies()
-    fps = np.array([simhash.fingerprint(simhash.shingle_hashes(t, simhash.PRINT_WIDTH)) for _, t in rows], np.uint64)
-    grams = [simhash.shingle_hashes(t, simhash.WIDTH) for _, t in rows]
+def brute_representatives(rows):
+    """The smallest id of each component of all pairs at the similarity, by comparing every pair."""
+    grams = [simhash.shingle_hashes(t or "", simhash.WIDTH) for _, t in rows]
     forest = simhash.Forest(len(rows))
     for i in range(len(rows)):
-        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= simhash.SEARCH_RADIUS).tolist():
+        for j in range(i):
             if forest.root(i) != forest.root(j) and simhash.jaccard(grams[i], grams[j]) >= simhash.SIMILARITY:
                 forest.join(i, j)
-    want = sorted({forest.root(i) for i in range(len(rows))})
+    return sorted({rows[forest.root(i)][0] for i in range(len(rows))})
+
+
+def test_representatives_miss_no_pair(spark):
+    rows = edited_copies()
+    r = random.Random(8)
+    passage = " ".join(r.choice("abcdefgh") + r.choice("xyz") for _ in range(60))
+    for k in range(120):  # texts around one passage, and short ones
+        rows.append((len(rows), f"{r.random()} " * r.randint(0, 24) + passage))
+        rows.append((len(rows), " ".join(r.choice("ab") for _ in range(r.randint(0, 11)))))
+    rows += [(len(rows) + k, t) for k, t in enumerate(["", " ", "\n", "A b", "a B"])]
+    want = brute_representatives(rows)
     assert 1 < len(want) < len(rows)
-    assert sorted(r.doc_id for r in simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+    got = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == want
 
 
-@pytest.mark.parametrize("tile", [10, 65_536])
-def test_pairs_between_labels_are_all_found(spark, tile):
-    r = random.Random(3)
-    centre = r.getrandbits(64)
-    flip = lambda x, k: x ^ sum(1 << b for b in r.sample(range(64), k))
-    rows = sorted({(x - 2**64 if x >= 2**63 else x, r.randint(0, 3)) for x in (flip(centre, r.randint(0, 5)) for _ in range(160))} | {(5, 1), (5, 2)})
-    want = {(*x, *y) for i, x in enumerate(rows) for y in rows[i + 1 :] if x[1] != y[1] and bin((x[0] ^ y[0]) & (2**64 - 1)).count("1") <= 4}
-    found = [tuple(x) for x in simhash.pairs_between(spark.createDataFrame(rows, "fp long, label long"), 4, 6, tile).collect()]
-    assert set(found) == want and len(found) == len(want)
+def test_representatives_of_a_small_table_equal_brute_force(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text) for r in table.collect())
+    assert sorted(r.doc_id for r in simhash.keep_representatives(table).collect()) == brute_representatives(rows)
+
+
+def test_representatives_of_equal_rows_do_not_follow_input_order(spark):
+    rows = [(4, "a b", 2), (4, "a b", 1), (None, "c", 5), (None, "c", 6), (None, None, 1), (None, "", 2)]
+    kept = [sorted(map(tuple, simhash.keep_representatives(spark.createDataFrame(x, "doc_id long, text string, extra int")).collect()), key=str) for x in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and len(kept[0]) == 3
+
+
+def test_rare_first_places_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(prefix_join, "CHUNK_BYTES", 2000)
+    rows = edited_copies()[:150]
+    df = spark.createDataFrame([(str(i), t) for i, t in rows], "id string, text string")
+    got = {(r.h, r.id): (r.size, r.place) for r in prefix_join.signatures(df, 5, 0.8).collect()}
+    codes = decontaminate.Codes()
+    sets = {str(i): set(prefix_join.text_sets([t.encode()], 5, codes)[1].tolist()) for i, t in rows}
+    often = Counter(h for s in sets.values() for h in s)
+    want = {}
+    for i, s in sets.items():
+        order = sorted(s, key=lambda h: (min(int(8 * math.log2(often[h])), 255), h))
+        want |= {(h, i): (len(s), k) for k, h in enumerate(order[: len(s) - math.ceil(0.8 * len(s)) + 1]) if often[h] > 1}
+    assert got == want and len(got) > 100
 
 
 def test_base_spans_and_field(docs, nothing):

@@ -59,6 +59,8 @@ def test_near_copies_leave_one_document(results):
             assert any(simhash.jaccard(grams[r.doc_id], g) >= 0.8 for d, g in grams.items() if d < r.doc_id)
     alone = [d for d, g in grams.items() if all(e == d or simhash.jaccard(g, h) < 0.8 for e, h in grams.items())]
     assert set(alone) <= set(kept)
+    left = [grams[d] for d in kept]  # no two of those that stay are near copies
+    assert not any(simhash.jaccard(g, h) >= 0.8 for i, g in enumerate(left) for h in left[:i])
 
 
 def test_no_item_is_left(spark, results):

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, cut, scratch, texts
 from .components import components
+from .prefix_join import apart_pairs, signatures, star_pairs
 
 RADIUS, BLOCKS, PIVOTS, TILE = 4, 6, 24, 65_536
 #: Rows of a key up to which all its pairs are compared by shifts; one fingerprint in how many is sampled for dense keys.
@@ -151,48 +152,6 @@ def dense_links(fps: np.ndarray, table: np.ndarray, radius: int, split: int = 0)
     return out
 
 
-def dense_pairs(fps: np.ndarray, labels: np.ndarray, radius: int, split: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a key's members within the radius that have different labels, in row blocks; with split, only pairs across that position."""
-    n, step = len(fps), 512
-    for at in range(0, split or n, step):
-        rows = slice(at, min(at + step, split or n))
-        first = split or at
-        i, j = np.nonzero((labels[rows, None] != labels[None, first:]) & (np.bitwise_count(fps[rows, None] ^ fps[None, first:]) <= radius))
-        i, j = at + i, first + j
-        yield i[i < j], j[i < j]
-
-
-def _pairs(radius: int):
-    """All pairs of different labels within runs of equal keys of rows sorted by them; columns key, side, fp, label."""
-
-    def handle(side: np.ndarray, fps: np.ndarray, labels: np.ndarray) -> Iterator[pa.RecordBatch]:
-        split = 0 if side[0] == 2 else int((side == 0).sum())
-        if side[0] != 2 and not 0 < split < len(fps):
-            return
-        for i, j in dense_pairs(fps, labels, radius, split):
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fps[i].view(np.int64), labels[i], fps[j].view(np.int64), labels[j])], ["a", "la", "b", "lb"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            cols = [np.asarray(batch.column(k)) for k in range(4)]
-            cols[2] = cols[2].view(np.uint64)
-            if held:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            starts = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
-            mixed = np.minimum.reduceat(cols[3], starts) != np.maximum.reduceat(cols[3], starts)
-            for k in np.flatnonzero(mixed[:-1]).tolist():
-                yield from handle(*[c[starts[k] : starts[k + 1]] for c in cols[1:]])
-            held = [c[starts[-1] :] for c in cols]  # the last key may go on in the next batch
-        if held and len(held[0]) > 1:
-            yield from handle(*held[1:])
-
-    return run
-
-
 def _links(radius: int, count: int):
     """Links within runs of equal (key, tile pair) of rows sorted by them; columns key, tile, side, fp."""
 
@@ -284,14 +243,6 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, count
     return keyed_runs(distinct.select("fp"), radius, blocks, tile).mapInArrow(_links(radius, count), "a long, b long").distinct()
 
 
-def pairs_between(labelled: DataFrame, radius: int, blocks: int, tile: int = TILE) -> DataFrame:
-    """a, la, b, lb: all pairs of distinct rows (fp, label) within the radius whose labels differ, each once."""
-    found = keyed_runs(labelled.select("fp", "label"), radius, blocks, tile).mapInArrow(_pairs(radius), "a long, la long, b long, lb long")
-    turned = F.struct("b", "lb") < F.struct("a", "la")
-    pick = lambda x, y, name: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name)
-    return found.select(pick("a", "b", "a"), pick("la", "lb", "la"), pick("b", "a", "b"), pick("lb", "la", "lb")).distinct()
-
-
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, fingerprint, component_id for every row of docs (doc_id, text)."""
     every = cut(fingerprints(docs, width))
@@ -303,9 +254,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS, block
     return every.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For deduplication by similarity: words of the shingles that fingerprints are made of, bits within which candidates
-#: are sought, blocks for it; words of the shingles that are compared, and least Jaccard similarity of them.
-PRINT_WIDTH, SEARCH_RADIUS, SEARCH_BLOCKS, WIDTH, SIMILARITY = 2, 7, 10, 5, 0.8
+#: For deduplication by similarity: words of the shingles that fingerprints are made of; words of the shingles that are
+#: compared, and least Jaccard similarity of them.
+PRINT_WIDTH, WIDTH, SIMILARITY = 2, 5, 0.8
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -336,17 +287,22 @@ def similar_links(bodies: DataFrame, edges: DataFrame, width: int, least: float)
     return left.join(bodies.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
 
 
-def keep_representatives(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, print_width: int = PRINT_WIDTH, radius: int = SEARCH_RADIUS, blocks: int = SEARCH_BLOCKS) -> DataFrame:
+def keep_representatives(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY, print_width: int = PRINT_WIDTH, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """One row of each group of near copies, that of the smallest doc_id (nulls last), all columns kept.
 
-    Equal texts (null counts as empty) are one to begin with. Fingerprints within
-    the radius propose links between different texts; a link holds if the exact
-    similarity of the texts' shingles is large enough; groups are the components.
-    A pair within the radius stays uncompared only if verified links join its ends.
-    An edited word changes fewer short shingles than long ones, so fingerprints are
-    made of shorter ones than those that are compared.
+    Equal texts (null counts as empty) are one to begin with; of rows with one doc_id
+    and text, that with the least hash of its other columns stays. Groups are the
+    components of all pairs of texts whose shingle sets are similar enough. Fingerprints
+    within the radius propose links first, as ``links`` finds them. A similar pair can
+    lie beyond any radius that block keys can afford, so rare-first prefixes then propose
+    every pair that may be similar and that verified links do not join: first one for
+    each text and element, then the rest. All proposals are verified on the whole texts.
+    An edited word changes fewer short shingles than long ones, so fingerprints are made
+    of shorter ones than those that are compared. Texts without words are one group.
     """
-    named = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("rank"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != "text" and f.dataType.typeName() != "map"]
+    rank = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(*plain).alias("tie")).alias("rank")
+    named = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("id"), rank, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     path = scratch(docs.sparkSession, "distinct-texts")
     named.groupBy("id").agg(F.min("rank").alias("rank"), F.min_by("row", "rank").alias("row")).write.option("compression", "zstd").parquet(path)
     one = docs.sparkSession.read.parquet(path)
@@ -357,39 +313,31 @@ def keep_representatives(docs: DataFrame, width: int = WIDTH, least: float = SIM
             fps = np.array([fingerprint(shingle_hashes(t, print_width)) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
+    held: list[DataFrame] = []
+
+    def verify(proposed: DataFrame) -> DataFrame:
+        """id, label: the component of each text that verified links join to another one."""
+        held.append(cut(similar_links(bodies, cut(proposed), width, least)))
+        every = held[0]
+        for more in held[1:]:
+            every = every.unionByName(more)
+        return components(every).select(F.col("vertex").alias("id"), F.col("component").alias("label"))
+
+    def labelled(groups: DataFrame) -> DataFrame:
+        return rows.join(groups, "id", "left").withColumn("label", F.xxhash64(F.coalesce("label", "id")))
+
     prints = cut(bodies.mapInArrow(run, "id string, fp long"))
     first = prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("texts"))
     found = cut(links(first, radius, blocks))
-    # only texts with another one within the radius go on: every such fingerprint has a link
-    ends = found.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(first.where("texts > 1").select("fp")).distinct()
-    nodes = cut(prints.join(ends, "fp", "left_semi").withColumn("label", F.xxhash64("id")))
-    ordered = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    held: DataFrame | None = None
-    tried: DataFrame | None = None
-
-    def verify(proposed: DataFrame) -> DataFrame:
-        """Compare what has not been compared; id, fp, component and its label by all verified links."""
-        nonlocal held, tried
-        fresh = cut(proposed if tried is None else proposed.join(tried, ["a", "b"], "left_anti"))
-        good = cut(similar_links(bodies, fresh, width, least))
-        held, tried = (good, fresh) if tried is None else (held.unionByName(good), tried.unionByName(fresh))
-        groups = components(held).withColumnRenamed("vertex", "id")
-        return cut(nodes.select("id", "fp").join(groups, "id", "left").select("id", "fp", "component", F.xxhash64(F.coalesce("component", "id")).alias("label")))
-
-    # first one link for each text: to the first of its fingerprint, which itself has one to its least neighbour
-    within = nodes.join(first, "fp").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    near = found.select(F.greatest("a", "b").alias("fp"), F.least("a", "b").alias("to")).groupBy("fp").agg(F.min("to").alias("to"))
-    heads = first.select("fp", "first"), first.select(F.col("fp").alias("to"), F.col("first").alias("b"))
-    labelled = verify(ordered(within.unionByName(near.join(heads[0], "fp").join(heads[1], "to").select(F.col("first").alias("a"), "b"))))
-    # then the other links whose ends no verified ones join yet
-    ends = [labelled.groupBy("fp").agg(F.min(F.struct("id", "label")).alias(c)).withColumnRenamed("fp", k) for k, c in (("a", "p"), ("b", "q"))]
-    labelled = verify(ordered(found.join(ends[0], "a").join(ends[1], "b").where("p.label <> q.label").select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))))
-    # at last every pair of texts within the radius that verified links do not join: no similar pair among the candidates is lost
-    apart = pairs_between(labelled.select("fp", "label").distinct(), radius, blocks)
-    ends = labelled.select(F.col("fp").alias("a"), F.col("label").alias("la"), F.col("id").alias("p")), labelled.select(F.col("fp").alias("b"), F.col("label").alias("lb"), F.col("id").alias("q"))
-    labelled = verify(ordered(apart.join(ends[0], ["a", "la"]).join(ends[1], ["b", "lb"]).select(F.col("p").alias("a"), F.col("q").alias("b"))))
-    vertex = labelled.where("component is not null").select(F.col("id").alias("vertex"), "component")
-    ranked = vertex.join(one.select(F.col("id").alias("vertex"), "rank"), "vertex")
-    least_of = ranked.groupBy("component").agg(F.min(F.struct("rank", "vertex")).alias("best"))
-    losers = ranked.join(least_of, "component").where("vertex <> best.vertex").select(F.col("vertex").alias("id"))
-    return one.join(sent_if_small(losers, vertex.count() * ID_BYTES), "id", "left_anti").select("row.*")
+    # texts of one fingerprint are linked to its first, and firsts to each other as fingerprints are
+    within = prints.join(first.where("texts > 1"), "fp").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    ends = [first.select(F.col("fp").alias(k), F.col("first").alias(f"{k}_id")) for k in "ab"]
+    across = found.join(ends[0], "a").join(ends[1], "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    groups = verify(within.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    rows = cut(signatures(bodies, width, least))
+    groups = verify(star_pairs(labelled(groups), least))
+    groups = verify(apart_pairs(labelled(groups), least))
+    ranked = groups.join(one.select("id", "rank"), "id")
+    least_of = ranked.groupBy("label").agg(F.min(F.struct("rank", "id")).alias("best"))
+    losers = ranked.join(least_of, "label").where("id <> best.id").select("id")
+    return one.join(sent_if_small(losers, groups.count() * ID_BYTES), "id", "left_anti").select("row.*")
