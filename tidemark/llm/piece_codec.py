@@ -4,14 +4,16 @@ Encoding keeps an agenda of adjacent symbol pairs, highest score first and
 leftmost first among equals, and merges until the agenda is empty. No piece of a
 vocabulary accepted here has the space mark after another character, so merges
 never cross the place before a run of space marks; texts are cut there, and each
-distinct stretch is merged once per worker and kept in a bounded memo. Every
-stretch that enters the memo is checked against the sentencepiece library in the
-Arrow batch that brought it; ``verify="texts"`` checks whole texts as well.
-Decoding is the library's decode(ids).
+distinct stretch is merged once per worker and kept in a bounded memo. The agendas of
+many short stretches are one matrix of pair scores whose rows give up their best pair
+together; a long stretch has a heap. Every stretch that enters the memo is checked
+against the sentencepiece library in the Arrow batch that brought it;
+``verify="texts"`` checks whole texts as well. Decoding is the library's decode(ids).
 
 Defined results: null text counts as empty, an empty text has no ids and decodes
 to the empty string, equal rows give equal rows, columns beyond the named ones
-are ignored.
+are ignored by the queries and kept by ``append_ids``, whose own columns replace
+those of the same names. A text of any length is one row and is encoded whole.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import texts
 
 MARK = "▁"
-#: Stretches that a worker keeps before the older ones go.
-MEMO = 200_000
+#: Stretches that a worker keeps before the older ones go; characters up to which stretches share a matrix.
+MEMO, SHORT = 300_000, 32
 _STRETCH = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -52,8 +56,10 @@ class PieceCodec:
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unk = sp.unk_id()
         self.fallback = sp.is_byte(self.byte[0])
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        #: ids of a stretch, and the same as decimal text joined by commas
+        self.memo: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.pairs = PairTable(self.score, self.id)
 
     def merge(self, stretch: str) -> tuple[int, ...]:
         """Ids of one stretch, space marks already in place."""
@@ -106,38 +112,135 @@ class PieceCodec:
             return _STRETCH.findall(MARK + text.replace(" ", MARK))
         return text.split(" ")
 
-    def learn(self, wanted: set[str]) -> dict[str, tuple[int, ...]]:
+    def merge_all(self, stretches: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each stretch, space marks already in place."""
+        out: list[tuple[int, ...] | None] = [None] * len(stretches)
+        short = [k for k, x in enumerate(stretches) if len(x) <= SHORT]
+        short.sort(key=lambda k: len(stretches[k]))
+        for at in range(0, len(short), 4096):  # of about one length
+            part = short[at : at + 4096]
+            for k, ids in zip(part, self.pairs.merge([stretches[k] for k in part]), strict=True):
+                out[k] = ids
+        # characters outside the vocabulary need bytes, long stretches a heap
+        return [self.merge(x) if ids is None else ids for x, ids in zip(stretches, out, strict=True)]
+
+    def learn(self, wanted: set[str]) -> dict[str, tuple[tuple[int, ...], str]]:
         """Merge stretches that the memo lacks, and check each against the library."""
         new = list(wanted)
-        ids = [self.merge(x if x[:1] == MARK else MARK + x) for x in new]
+        ids = self.merge_all([x if x[:1] == MARK else MARK + x for x in new])
         # the library puts a mark of its own before a text, so one is taken away
         for x, mine, its in zip(new, ids, self.sp.encode([x[1:] if x[:1] == MARK else x for x in new], num_threads=1), strict=True):
             if mine != tuple(its) and x != MARK and x:
                 raise ValueError(f"agenda and library differ on {x!r}: {mine} and {tuple(its)}")
-        return dict(zip(new, ids, strict=True))
+        return {x: (mine, ",".join(map(str, mine))) for x, mine in zip(new, ids, strict=True)}
 
-    def encode_batch(self, batch: list[str]) -> list[list[int]]:
-        """Ids of each text, as the library's encode() without begin and end."""
+    def encode_parts(self, batch: list[str]) -> list[list[tuple[tuple[int, ...], str]]]:
+        """What the memo holds of each text's stretches, in order."""
         parts = [self.stretches(t) if t else [] for t in batch]
-        memo, old, lacking = self.memo, self.old, set()
-        for p in parts:
-            for x in p:
-                if x not in memo:
-                    if x in old:
-                        memo[x] = old[x]
-                    else:
-                        lacking.add(x)
-        memo.update(self.learn(lacking))
-        out = []
-        for p in parts:
-            ids: list[int] = []
-            for x in p:
-                ids += memo[x]
-            out.append(ids)
+        memo, old = self.memo, self.old
+        lacking = {x for p in parts for x in p if x not in memo}
+        known = {x: old[x] for x in lacking if x in old}
+        memo.update(known)
+        memo.update(self.learn(lacking.difference(known)))
+        out = [[memo[x] for x in p] for p in parts]
         if len(memo) > MEMO:  # what was used lately outlives one change of generation
             self.old, self.memo = memo, {}
         return out
 
+    def encode_batch(self, batch: list[str]) -> list[list[int]]:
+        """Ids of each text, as the library's encode() without begin and end."""
+        return [list(chain.from_iterable([x[0] for x in p])) for p in self.encode_parts(batch)]
+
+
+class PairTable:
+    """Merges many short stretches together: every pair of symbols that makes a piece, in a table of open addressing."""
+
+    def __init__(self, score: dict[str, float], ids: dict[str, int]):
+        symbols = dict(ids)
+        for c in {c for piece in ids for c in piece}:
+            symbols.setdefault(c, len(symbols) + max(ids.values(), default=0) + 1)
+        self.base = max(symbols.values(), default=0) + 1  # characters that no piece holds are numbered from here
+        self.piece = np.zeros(self.base, bool)
+        self.piece[list(ids.values())] = True
+        self.score = np.full(self.base + 1, np.inf)
+        self.score[[ids[p] for p in score]] = list(score.values())
+        self.char = np.arange(0x110000, dtype=np.int64) + self.base
+        for x, k in symbols.items():
+            if len(x) == 1:
+                self.char[ord(x)] = k
+        self.width = self.base + 0x110000
+        key, made = [], []
+        for piece in score:
+            for k in range(1, len(piece)):
+                a, b = symbols.get(piece[:k]), symbols.get(piece[k:])
+                if a is not None and b is not None:
+                    key.append(a * self.width + b)
+                    made.append(ids[piece])
+        key_, made_ = np.array(key, np.int64), np.array(made, np.int32)
+        self.bits = max(8, int(4 * len(key) + 1).bit_length())
+        self.keys, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.base, np.int32)
+        left, slot = np.arange(len(key_)), self.slot(key_)
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            self.keys[slot[free]] = key_[free]
+            mine = free[self.keys[slot[free]] == key_[free]]
+            self.made[slot[mine]] = made_[mine]
+            left = np.setdiff1d(left, mine)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that each pair makes, or base; a negative symbol makes none."""
+        key = np.where((a < 0) | (b < 0), -2, a * self.width + b)
+        slot = self.slot(key)
+        seen = self.keys[slot]
+        out = np.where(seen == key, self.made[slot], self.base)
+        left = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            seen = self.keys[slot[left]]
+            hit = seen == key[left]
+            out[left[hit]] = self.made[slot[left[hit]]]
+            left = left[~hit & (seen >= 0)]
+        return out
+
+    def merge(self, stretches: list[str]) -> list[tuple[int, ...] | None]:
+        """Ids of each stretch; None where a symbol is no piece."""
+        size = np.array([len(x) for x in stretches])
+        most, n = int(size.max()), len(stretches)
+        inside = (np.arange(most)[None] < size[:, None]).ravel()
+        sym = np.full(n * most + 1, -1)  # row by row; the last cell stands beyond all ends
+        sym[:-1][inside] = self.char[np.frombuffer("".join(stretches).encode("utf-32-le"), "<u4")]
+        end, cell = n * most, np.arange(n * most + 1)
+        after, before = np.append(np.where(np.append(inside[1:], False) & (cell[1:] % most > 0), cell[:-1] + 1, end), end), cell - 1
+        before[:-1:most] = before[-1] = end
+        made = np.full(n * most + 1, self.base, np.int64)  # by each symbol and the one after it
+        pair = np.flatnonzero(inside & (after[:-1] < end))
+        made[pair] = self.join(sym[pair], sym[pair + 1])
+        rank = self.score[made]
+        agenda, row = rank[:-1].reshape(n, most), np.arange(n) * most
+        while True:
+            i = row + agenda.argmin(1)  # the leftmost of equals
+            i = i[rank[i] < np.inf]
+            if not len(i):
+                break
+            j = after[i]
+            k, h = after[j], before[i]
+            sym[i], sym[j], rank[j] = made[i], -1, np.inf
+            after[i], before[k] = k, i
+            for x, y in ((i, k), (h, i)):
+                made[x] = self.join(sym[x], sym[y])  # a cell beyond the ends makes no piece
+                rank[x] = self.score[made[x]]
+            sym[end], rank[end], after[end], before[end] = -1, np.inf, end, end
+        left = sym[:-1].reshape(n, most)
+        kept = left >= 0
+        good = (~kept | (self.piece[np.minimum(left, self.base - 1)] & (left < self.base))).all(1).tolist()
+        flat, ends = left[kept].tolist(), np.cumsum(kept.sum(1)).tolist()
+        return [tuple(flat[e:f]) if ok else None for e, f, ok in zip([0, *ends[:-1]], ends, good, strict=True)]
+
 
 @lru_cache(maxsize=2)
 def codec(model: str) -> PieceCodec:
@@ -157,6 +260,7 @@ def encode_digests(docs: DataFrame, model: str, verify: str = "stretches") -> Da
 
 def append_ids(docs: DataFrame, model: str) -> DataFrame:
     """All columns of docs, ids (array of int; null text: none) and n_tokens long; the text becomes what the ids decode to."""
+    docs = docs.drop("ids", "n_tokens")
     schema = docs.withColumn("ids", F.array(F.lit(0))).withColumn("n_tokens", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,11 +272,16 @@ def append_ids(docs: DataFrame, model: str) -> DataFrame:
                 ids = c.encode_batch([t or "" for t in body])
                 cols = dict(zip(b.schema.names, b.columns, strict=True))
                 cols["text"] = pa.array([None if t is None else c.sp.decode(x) if x else "" for t, x in zip(body, ids, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())], [*cols, "ids", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*cols.values(), _lists(ids), pa.array([len(x) for x in ids], pa.int64())], [*cols, "ids", "n_tokens"])
 
     return docs.mapInArrow(run, schema)
 
 
+def _lists(ids: list[list[int]]) -> pa.ListArray:
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
+
+
 def _coder(model: str, verify: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
@@ -181,14 +290,15 @@ def _coder(model: str, verify: str, digest: bool):
             for at in range(0, big.num_rows, 256):
                 b = big.slice(at, 256)
                 body = b.column(1).to_pylist()
-                ids = c.encode_batch(body)
+                parts = c.encode_parts(body)
+                ids = [list(chain.from_iterable([x[0] for x in p])) for p in parts]
                 if verify == "texts" and ids != c.sp.encode(body, num_threads=1):
                     raise ValueError("agenda and library differ on a whole text")
                 back = [c.sp.decode(x) if x else "" for x in ids]
                 if digest:
-                    cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hexed(",".join(map(str, x))) for x in ids]), pa.array([hexed(x) for x in back])]
+                    cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hexed(",".join([x[1] for x in p])) for p in parts]), pa.array([hexed(x) for x in back])]
                     yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
+                    yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
 
     return run
