@@ -6,18 +6,20 @@ that holds the token ids of consecutive documents:
     magic "WVLM", levels uint32, tokens uint64, documents uint64, tokens before it in its part uint64
     zeros of each level, uint64
     doc_id of each document, int64; first token of each document in the shard, uint64
-    for each level: bit-plane words uint64, then ranks before each word uint64
-    (all little-endian)
+    for each level: bit-plane words uint64, then uint32 ranks before each block of 512 bits
+    (all little-endian), so that a token takes its levels in bits and a sixteenth more
 
 Level by level, from the highest bit, ids are divided stably into zeros and ones.
 Access, rank (how often an id occurs before a position) and select (where the
 k-th occurrence lies) read only the planes. Reading a whole shard walks all
-positions through the planes at once.
+positions through the planes at once; ``read_shards`` also looks up every document's
+last token by access and counts end ids by rank, and fails on a file that disagrees.
 
 Shards are cut by ranges of doc_id, so that reading them in order gives ascending
 doc_id; equal doc_ids are ordered by text. Texts are cut between a word and one
-following space, where the pre-tokenizer always cuts; each distinct piece is
-encoded once by the tokenizers library and kept in a bounded memo.
+following space, where the pre-tokenizer always cuts; the distinct pieces of a batch
+are told apart in Arrow, and each is encoded once by the tokenizers library and kept
+in a bounded memo. A text of any length is encoded whole.
 
 Defined results: null text counts as empty and holds the end id alone; an empty
 table has no shards; null doc_ids come first; further columns are ignored.
@@ -32,18 +34,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, texts
 
 MAGIC, HEAD = b"WVLM", 32
+#: Words of a block that has one rank.
+BLOCK = 8
 #: Pieces that a worker keeps before the older ones go.
 MEMO = 250_000
 #: Text bytes and documents that a shard takes; a longer document has a shard of its own.
 SHARD_BYTES, SHARD_DOCS = 4_000_000, 65_536
 _ODD = re.compile(r"\s\s|^\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: The same as _ODD or a NUL, with the white space that Python knows spelt out.
+_WHITE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD_RE2 = rf"(?s){_WHITE}{_WHITE}|\A{_WHITE}|{_WHITE}\z|\x00"
+#: How the byte-level alphabet writes a space.
+SPACE = chr(256 + 32)
 
 
 def _popcount(words: np.ndarray) -> np.ndarray:
@@ -58,12 +68,17 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, levels: int) -> WaveletMatrix:
+        if len(ids) >= 2**32:
+            raise ValueError("a shard holds fewer than 2**32 tokens")
         planes, zeros, now = [], [], np.asarray(ids, np.uint32 if levels > 16 else np.uint16)
         for level in range(levels - 1, -1, -1):
-            one = (now >> level) & 1 == 1
+            one = (now >> level).astype(np.uint8)
+            one &= 1
             raw = np.packbits(one, bitorder="little").tobytes()
+            one = one.view(bool)
             words = np.frombuffer(raw + bytes(-len(raw) % 8), "<u8")
-            ranks = np.concatenate([[0], np.cumsum(_popcount(words))]).astype("<u8")
+            counts = _popcount(words)
+            ranks = np.concatenate([[0], np.cumsum(np.add.reduceat(counts, np.arange(0, len(words), BLOCK)))]).astype("<u4") if len(words) else np.zeros(1, "<u4")
             low, high = now[~one], now[one]
             planes.append((words, ranks))
             zeros.append(len(low))
@@ -73,9 +88,16 @@ class WaveletMatrix:
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         """Set bits of a plane before each position."""
         words, ranks = self.planes[level]
+        if not len(words):
+            return np.zeros(len(at), np.int64)
         word, bit = at >> 6, (at & 63).astype(np.uint64)
-        inside = np.where(bit > 0, words[np.minimum(word, max(len(words) - 1, 0))] & ((np.uint64(1) << bit) - np.uint64(1)), np.uint64(0)) if len(words) else np.zeros(len(at), np.uint64)
-        return (ranks[word] + np.bitwise_count(inside)).astype(np.int64)
+        first = word // BLOCK * BLOCK
+        out = ranks[word // BLOCK].astype(np.int64)
+        for k in range(BLOCK - 1):  # whole words of the block before the position's own
+            mine = first + k < word
+            out += np.where(mine, np.bitwise_count(words[np.minimum(first + k, len(words) - 1)]), 0)
+        inside = np.where(bit > 0, words[np.minimum(word, len(words) - 1)] & ((np.uint64(1) << bit) - np.uint64(1)), np.uint64(0))
+        return out + np.bitwise_count(inside).astype(np.int64)
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """The ids at some positions."""
@@ -91,13 +113,18 @@ class WaveletMatrix:
 
     def read(self) -> np.ndarray:
         """All ids in order: the planes are undone from the lowest to the highest."""
-        out = np.zeros(self.n, np.uint32)
-        for level in range(len(self.planes) - 1, -1, -1):
+        levels = len(self.planes)
+        kind = np.uint16 if levels <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
+        for level in range(levels - 1, -1, -1):
             one = np.unpackbits(self.planes[level][0].view(np.uint8), bitorder="little", count=self.n).view(bool)
-            z, back = self.zeros[level], np.empty(self.n, np.uint32)
-            back[~one], back[one] = out[:z], out[z:] | np.uint32(1 << (len(self.planes) - 1 - level))
+            z, back = self.zeros[level], np.empty(self.n, kind)
+            out[z:] |= kind(1 << (levels - 1 - level))
+            if self.n:
+                np.place(back, ~one, out[:z])
+                np.place(back, one, out[z:])
             out = back
-        return out
+        return out.astype(np.uint32)
 
     def rank(self, symbol: int, upto: int) -> int:
         """Occurrences of symbol before a position."""
@@ -150,7 +177,7 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, int]:
 
     zeros, ids, starts = take("<u8", levels).tolist(), take("<i8", docs), take("<u8", docs)
     words = (n + 63) // 64
-    return WaveletMatrix([(take("<u8", words), take("<u8", words + 1)) for _ in range(levels)], zeros, n), ids, starts, first
+    return WaveletMatrix([(take("<u8", words), take("<u4", -(-words // BLOCK) + 1)) for _ in range(levels)], zeros, n), ids, starts, first
 
 
 class PieceMemo:
@@ -167,26 +194,31 @@ class PieceMemo:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.levels = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [x for x in range(256) if x not in plain]
-        self.alphabet = {x: chr(x) for x in plain} | {x: chr(256 + k) for k, x in enumerate(rest)}
-        self.space = self.alphabet[32]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # does a token begin with a space?
+        self.spaced[[k for x, k in vocabulary.items() if x[:1] == SPACE]] = True
+        # words that could hold an added token, whose sides are matched otherwise, go alone
+        signs = "".join({x.content[0] for x in self.tokenizer.get_added_tokens_decoder().values()})
+        self.odd = re.compile(rf"[\s{re.escape(signs)}\0]")
 
     def learn(self, lacking: list[str]) -> list[bytes]:
-        """Ids of some pieces. A word in letters is one stretch for the pre-tokenizer and goes to the model at once."""
+        """Ids of some pieces. Words of visible characters go to the library as one text, since each token that begins with a space begins a word."""
         out: list[bytes | None] = [None] * len(lacking)
-        other = []
-        for k, x in enumerate(lacking):
-            if x.isalpha():
-                out[k] = np.array([t.id for t in self.model.tokenize(self.space + x.encode().decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
-            else:
-                other.append(k)
+        plain = [k for k, x in enumerate(lacking) if x.isprintable() and x and not self.odd.search(x)]
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join([lacking[k] for k in some])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.spaced[ids]).tolist()
+            if len(cuts) != len(some):
+                raise ValueError("words and tokens that begin with a space differ in number")
+            raw = ids.tobytes()
+            for k, a, b in zip(some, cuts, [*cuts[1:], len(ids)], strict=True):
+                out[k] = raw[4 * a : 4 * b]
         # an ordinary word's piece has a leading space; NUL marks all others
+        other = [k for k, x in enumerate(out) if x is None]
         for k, e in zip(other, self.tokenizer.encode_batch_fast([lacking[k][1:] if lacking[k][:1] == "\0" else " " + lacking[k] for k in other], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, "<u4").tobytes()
         return out
@@ -217,6 +249,39 @@ class PieceMemo:
             p[1:] = ["\0 " + x if x[:1] == "\0" else x for x in p[1:]]
         return p
 
+    def encode_texts(self, bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has; no text is null."""
+        odd = pc.match_substring_regex(bodies, _ODD_RE2).to_numpy(zero_copy_only=False) | (pc.binary_length(bodies).to_numpy() == 0)
+        words = pc.split_pattern(bodies, " ")
+        offsets, flat = words.offsets.to_numpy(), words.flatten()
+        offsets = offsets - offsets[0]
+        whole = [self.pieces(t) if t else [] for t in bodies.filter(pa.array(odd)).to_pylist()]
+        # which piece stands where: a text's own first piece, ordinary words by their number, odd texts' pieces at last
+        first = np.zeros(len(flat), bool)
+        first[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+        plain = np.repeat(~odd, np.diff(offsets))
+        coded = flat.filter(pa.array(plain & ~first)).dictionary_encode()
+        kinds = [*coded.dictionary.to_pylist(), *("\0" + x for x in flat.filter(pa.array(plain & first)).to_pylist()), *(x for p in whole for x in p)]
+        n_words, n_first = len(coded.dictionary), int((plain & first).sum())
+        number = np.empty(len(flat), np.int64)
+        number[plain & ~first] = coded.indices.to_numpy()
+        number[plain & first] = n_words + np.arange(n_first)
+        counts = np.where(odd, 0, np.diff(offsets))
+        counts[odd] = [len(p) for p in whole]
+        order = np.empty(int(counts.sum()), np.int64)
+        at_odd = np.repeat(odd, counts)
+        order[~at_odd] = number[plain]
+        order[at_odd] = n_words + n_first + np.arange(int(at_odd.sum()))
+        found = self.encode(kinds)
+        size = np.array([len(x) // 4 for x in found], np.int64)
+        table, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        take = size[order]
+        ends = np.cumsum(take)
+        ids = table[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[order] - (ends - take), take)]
+        cuts = np.concatenate([[0], np.cumsum(counts)])
+        upto = np.concatenate([[0], ends])[cuts]
+        return ids, np.diff(upto)
+
 
 @lru_cache(maxsize=2)
 def piece_memo(path: str) -> PieceMemo:
@@ -233,34 +298,34 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, partit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, shard, memo = TaskContext.get().partitionId(), 0, piece_memo(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
-        ids, doc_ids, counts, size, before = [], [], [], 0, 0
+        part, shard, memo, END = TaskContext.get().partitionId(), 0, piece_memo(tokenizer), np.array([end_id], "<u4")
+        held, doc_ids, counts, size, before = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), "<u4")
+            flat = np.concatenate(held)
             starts = np.cumsum([0, *counts[:-1]])
             levels = max(memo.levels, int(end_id).bit_length())
             file = pack(WaveletMatrix.build(flat, levels), np.array(doc_ids, np.int64), starts, before)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([file], pa.binary())], ["part", "shard", "n_tokens", "file"])
 
-        for big in batches:
-            for at in range(0, big.num_rows, 256):
-                b = big.slice(at, 256)
-                parts = [memo.pieces(t) if t else [] for t in b.column(1).to_pylist()]
-                flat, a = memo.encode([x for p in parts for x in p]), 0
-                for doc_id, p in zip(b.column(0).to_pylist(), parts, strict=True):
-                    one = b"".join(flat[a : a + len(p)]) + end
-                    a += len(p)
-                    if ids and (size + len(one) > SHARD_BYTES or len(ids) >= SHARD_DOCS):
+        for b in batches:
+            n_bytes = np.concatenate([[0], np.cumsum(pc.binary_length(b.column(1)).to_numpy())])
+            at = 0
+            while at < b.num_rows:  # some texts at once: of about a shard's bytes together, or one longer text
+                upto = max(at + 1, int(np.searchsorted(n_bytes, n_bytes[at] + SHARD_BYTES, side="right")) - 1)
+                ids, n_tokens = memo.encode_texts(b.column(1).slice(at, upto - at))
+                ends = np.cumsum(n_tokens).tolist()
+                for doc_id, n, e in zip(b.column(0).slice(at, upto - at).to_pylist(), n_tokens.tolist(), ends, strict=True):
+                    if held and (4 * (size + n + 1) > SHARD_BYTES or len(doc_ids) >= SHARD_DOCS):
                         yield flush()
                         before += sum(counts)
-                        ids, doc_ids, counts, size, shard = [], [], [], 0, shard + 1
-                    ids.append(one)
+                        held, doc_ids, counts, size, shard = [], [], [], 0, shard + 1
+                    held += [ids[e - n : e], END]
                     doc_ids.append(NULL_ID if doc_id is None else doc_id)
-                    counts.append(len(one) // 4)
-                    size += len(one)
-        if ids:
+                    counts.append(n + 1)
+                    size += n + 1
+                at = upto
+        if held:
             yield flush()
 
     ordered.mapInArrow(run, "part int, shard int, n_tokens long, file binary").write.parquet(path)
@@ -270,8 +335,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, partit
 NULL_ID = -(2**63)
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, in the order of the files."""
+def read_shards(spark: SparkSession, path: str, end_id: int) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, in the order of the files; each document must end in end_id."""
     files = spark.read.parquet(path)
     # a file says how many tokens precede it in its part; one sum per part, as many as the writer had tasks, gives the rest
     sums = {r.part: r.n for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
@@ -285,8 +350,10 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
             for file, part in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 matrix, ids, starts, first = unpack(file.as_buffer().to_pybytes())
                 first += base[part]
-                flat = matrix.read().astype("<u4").tobytes()
-                cuts = [*starts.tolist(), matrix.n]
+                ids_ = matrix.read().astype("<u4")
+                flat, cuts = ids_.tobytes(), [*starts.tolist(), matrix.n]
+                if (matrix.access(np.array(cuts[1:]) - 1) != end_id).any() or matrix.rank(end_id, matrix.n) != int((ids_ == end_id).sum()):
+                    raise ValueError("a shard's planes disagree with its documents")
                 yield pa.RecordBatch.from_arrays([
                     pa.array([None if i == NULL_ID else i for i in ids.tolist()], pa.int64()), pa.array([first + x for x in cuts[:-1]], pa.int64()), pa.array(np.diff(cuts), pa.int64()),
                     pa.array([zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.int64()),
@@ -299,4 +366,4 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Write all documents as shards in the shared folder and return what is read back from them."""
     path = scratch(docs.sparkSession, "wavelet")
     write_shards(docs, tokenizer, end_id, path)
-    return read_shards(docs.sparkSession, path)
+    return read_shards(docs.sparkSession, path, end_id)
