@@ -44,9 +44,11 @@ MAGIC, HEAD = b"WVLM", 32
 #: Words of a block that has one rank.
 BLOCK = 8
 #: Pieces that a worker keeps before the older ones go.
-MEMO = 250_000
+MEMO = 200_000
 #: Text bytes and documents that a shard takes; a longer document has a shard of its own.
 SHARD_BYTES, SHARD_DOCS = 4_000_000, 65_536
+#: Text bytes that are encoded at once.
+STEP_BYTES = 1_500_000
 _ODD = re.compile(r"\s\s|^\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: The same as _ODD or a NUL, with the white space that Python knows spelt out.
@@ -311,8 +313,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, partit
         for b in batches:
             n_bytes = np.concatenate([[0], np.cumsum(pc.binary_length(b.column(1)).to_numpy())])
             at = 0
-            while at < b.num_rows:  # some texts at once: of about a shard's bytes together, or one longer text
-                upto = max(at + 1, int(np.searchsorted(n_bytes, n_bytes[at] + SHARD_BYTES, side="right")) - 1)
+            while at < b.num_rows:  # some texts at once, or one longer text
+                upto = max(at + 1, int(np.searchsorted(n_bytes, n_bytes[at] + STEP_BYTES, side="right")) - 1)
                 ids, n_tokens = memo.encode_texts(b.column(1).slice(at, upto - at))
                 ends = np.cumsum(n_tokens).tolist()
                 for doc_id, n, e in zip(b.column(0).slice(at, upto - at).to_pylist(), n_tokens.tolist(), ends, strict=True):
