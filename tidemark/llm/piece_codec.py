@@ -34,7 +34,9 @@ from .common import texts
 
 MARK = "▁"
 #: Stretches that a worker keeps before the older ones go; characters up to which stretches share a matrix.
-MEMO, SHORT = 300_000, 32
+MEMO, SHORT = 500_000, 32
+#: Texts that are encoded together.
+STEP = 512
 _STRETCH = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -56,9 +58,10 @@ class PieceCodec:
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unk = sp.unk_id()
         self.fallback = sp.is_byte(self.byte[0])
-        #: ids of a stretch, and the same as decimal text joined by commas
-        self.memo: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
+        #: ids of a stretch as bytes of int32, which take a third of what a tuple does; and each id as decimal text
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.decimal = [str(i) for i in range(n)]
         self.pairs = PairTable(self.score, self.id)
 
     def merge(self, stretch: str) -> tuple[int, ...]:
@@ -124,7 +127,7 @@ class PieceCodec:
         # characters outside the vocabulary need bytes, long stretches a heap
         return [self.merge(x) if ids is None else ids for x, ids in zip(stretches, out, strict=True)]
 
-    def learn(self, wanted: set[str]) -> dict[str, tuple[tuple[int, ...], str]]:
+    def learn(self, wanted: set[str]) -> dict[str, bytes]:
         """Merge stretches that the memo lacks, and check each against the library."""
         new = list(wanted)
         ids = self.merge_all([x if x[:1] == MARK else MARK + x for x in new])
@@ -132,24 +135,26 @@ class PieceCodec:
         for x, mine, its in zip(new, ids, self.sp.encode([x[1:] if x[:1] == MARK else x for x in new], num_threads=1), strict=True):
             if mine != tuple(its) and x != MARK and x:
                 raise ValueError(f"agenda and library differ on {x!r}: {mine} and {tuple(its)}")
-        return {x: (mine, ",".join(map(str, mine))) for x, mine in zip(new, ids, strict=True)}
+        flat = np.fromiter(chain.from_iterable(ids), "<i4").tobytes()
+        ends = np.cumsum([4 * len(x) for x in ids]).tolist()
+        return {x: flat[a:e] for x, a, e in zip(new, [0, *ends[:-1]], ends, strict=True)}
 
-    def encode_parts(self, batch: list[str]) -> list[list[tuple[tuple[int, ...], str]]]:
-        """What the memo holds of each text's stretches, in order."""
+    def encode_batch(self, batch: list[str]) -> list[list[int]]:
+        """Ids of each text, as the library's encode() without begin and end."""
         parts = [self.stretches(t) if t else [] for t in batch]
         memo, old = self.memo, self.old
         lacking = {x for p in parts for x in p if x not in memo}
         known = {x: old[x] for x in lacking if x in old}
         memo.update(known)
         memo.update(self.learn(lacking.difference(known)))
-        out = [[memo[x] for x in p] for p in parts]
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, p)), "<i4").tolist() for p in parts]
         if len(memo) > MEMO:  # what was used lately outlives one change of generation
             self.old, self.memo = memo, {}
         return out
 
-    def encode_batch(self, batch: list[str]) -> list[list[int]]:
-        """Ids of each text, as the library's encode() without begin and end."""
-        return [list(chain.from_iterable([x[0] for x in p])) for p in self.encode_parts(batch)]
+    def forget(self) -> None:
+        """Free the memo; a worker that goes on to other work does not keep it."""
+        self.memo, self.old = {}, {}
 
 
 class PairTable:
@@ -266,13 +271,14 @@ def append_ids(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                b = big.slice(at, 256)
+            for at in range(0, big.num_rows, STEP):
+                b = big.slice(at, STEP)
                 body = b.column(b.schema.get_field_index("text")).to_pylist()
                 ids = c.encode_batch([t or "" for t in body])
                 cols = dict(zip(b.schema.names, b.columns, strict=True))
                 cols["text"] = pa.array([None if t is None else c.sp.decode(x) if x else "" for t, x in zip(body, ids, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*cols.values(), _lists(ids), pa.array([len(x) for x in ids], pa.int64())], [*cols, "ids", "n_tokens"])
+        c.forget()
 
     return docs.mapInArrow(run, schema)
 
@@ -287,18 +293,18 @@ def _coder(model: str, verify: str, digest: bool):
         c = codec(model)
         hexed = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                b = big.slice(at, 256)
+            for at in range(0, big.num_rows, STEP):
+                b = big.slice(at, STEP)
                 body = b.column(1).to_pylist()
-                parts = c.encode_parts(body)
-                ids = [list(chain.from_iterable([x[0] for x in p])) for p in parts]
+                ids = c.encode_batch(body)
                 if verify == "texts" and ids != c.sp.encode(body, num_threads=1):
                     raise ValueError("agenda and library differ on a whole text")
                 back = [c.sp.decode(x) if x else "" for x in ids]
                 if digest:
-                    cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hexed(",".join([x[1] for x in p])) for p in parts]), pa.array([hexed(x) for x in back])]
+                    cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hexed(",".join(map(c.decimal.__getitem__, x))) for x in ids]), pa.array([hexed(x) for x in back])]
                     yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
                     yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
+        c.forget()
 
     return run

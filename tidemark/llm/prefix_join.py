@@ -34,7 +34,7 @@ from .common import LOWER, scratch
 from .decontaminate import Codes, shingles
 
 #: Text bytes and texts of a chunk; elements of a bucket, about; bits of an element, and of what is left of it in one of the least number of buckets.
-CHUNK_BYTES, CHUNK_TEXTS, BUCKET, BITS, REST = 6_000_000, 50_000, 2_000_000, 48, 40
+CHUNK_BYTES, CHUNK_TEXTS, BUCKET, BITS, REST = 4_000_000, 50_000, 2_000_000, 48, 40
 #: Stands for the set of a text without words, so that such texts meet.
 NOTHING = np.uint64(1)
 
@@ -114,9 +114,14 @@ def from_planes(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def shift_of(buckets: int) -> int:
+    """Bits of an element that its bucket does not tell."""
+    return BITS - int(math.log2(buckets))
+
+
 def shared_elements(chunks: DataFrame, width: int, buckets: int) -> DataFrame:
-    """chunk, h (elements as int64), rank (bytes): elements of a chunk that occur in two texts or more, and how common they are (8 * log2 of the count)."""
-    shift = BITS - int(math.log2(buckets))
+    """chunk, bucket, rest, rank: elements of a chunk that occur in two texts or more, and how common they are (bytes, 8 * log2 of the count)."""
+    shift = shift_of(buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
@@ -144,17 +149,17 @@ def shared_elements(chunks: DataFrame, width: int, buckets: int) -> DataFrame:
         every = np.empty(len(flat), np.int64)
         every[order] = total[np.cumsum(new) - 1]
         rank = np.minimum(8 * np.log2(every), 255).astype(np.uint8)
-        h, ends, out = flat | np.uint64(bucket << shift), np.cumsum(sizes).tolist(), ([], [], [])
+        ends, out = np.cumsum(sizes).tolist(), ([], [], [])
         for c, size, e in zip(chunk.tolist(), sizes, ends, strict=True):
             often = np.flatnonzero(every[e - size : e] > 1) + e - size
             if len(often):
                 out[0].append(c)
-                out[1].append(h[often].astype("<i8").tobytes())
+                out[1].append(to_planes(flat[often]))
                 out[2].append(rank[often].tobytes())
-        return pa.table({"chunk": pa.array(out[0], pa.int64()), "h": pa.array(out[1], pa.binary()), "rank": pa.array(out[2], pa.binary())})
+        return pa.table({"chunk": pa.array(out[0], pa.int64()), "bucket": pa.array([bucket] * len(out[0]), pa.int32()), "rest": pa.array(out[1], pa.binary()), "rank": pa.array(out[2], pa.binary())})
 
     rows = chunks.select("chunk", "sizes", "z").mapInArrow(count, "bucket int, chunk long, rest binary, n binary")
-    return rows.groupBy("bucket").applyInArrow(add, "chunk long, h binary, rank binary")
+    return rows.groupBy("bucket").applyInArrow(add, "chunk long, bucket int, rest binary, rank binary")
 
 
 def signatures(bodies: DataFrame, width: int, least: float) -> DataFrame:
@@ -163,7 +168,8 @@ def signatures(bodies: DataFrame, width: int, least: float) -> DataFrame:
     chunks = pack_chunks(bodies, path)
     total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = 1 << max(BITS - REST, math.ceil(math.log2(max(total / 6 / BUCKET, 1))))
-    found = shared_elements(chunks, width, buckets).groupBy("chunk").agg(F.collect_list(F.struct("h", "rank")).alias("found"))
+    shift = shift_of(buckets)
+    found = shared_elements(chunks, width, buckets).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "rest", "rank")).alias("found"))
     # chunks meet what was found of them in plain exchanges; both sides are one row a chunk
     met = chunks.join(found, "chunk").select("ids", "sizes", "z", "found")
 
@@ -172,10 +178,9 @@ def signatures(bodies: DataFrame, width: int, least: float) -> DataFrame:
         for b in batches:
             for ids, sizes, z, some in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 owner, e = text_sets(unpack_chunk(sizes, z), width, codes)
-                known = np.concatenate([np.frombuffer(x["h"], "<i8") for x in some]).astype(np.uint64)
+                some.sort(key=lambda x: x["bucket"])
+                known = np.concatenate([from_planes(x["rest"]) | np.uint64(x["bucket"] << shift) for x in some])
                 rank = np.concatenate([np.frombuffer(x["rank"], np.uint8) for x in some])
-                order = np.argsort(known)
-                known, rank = known[order], rank[order]
                 at = np.minimum(np.searchsorted(known, e), len(known) - 1)
                 level = np.where(known[at] == e, rank[at], 0)  # 0: in this text alone
                 order = np.lexsort((e, level, owner))

@@ -44,11 +44,11 @@ MAGIC, HEAD = b"WVLM", 32
 #: Words of a block that has one rank.
 BLOCK = 8
 #: Pieces that a worker keeps before the older ones go.
-MEMO = 200_000
+MEMO = 300_000
 #: Text bytes and documents that a shard takes; a longer document has a shard of its own.
 SHARD_BYTES, SHARD_DOCS = 4_000_000, 65_536
 #: Text bytes that are encoded at once.
-STEP_BYTES = 1_500_000
+STEP_BYTES = 3_000_000
 _ODD = re.compile(r"\s\s|^\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: The same as _ODD or a NUL, with the white space that Python knows spelt out.
@@ -329,6 +329,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, partit
                 at = upto
         if held:
             yield flush()
+        memo.memo, memo.old = {}, {}  # a worker that goes on to other work does not keep them
 
     ordered.mapInArrow(run, "part int, shard int, n_tokens long, file binary").write.parquet(path)
 
