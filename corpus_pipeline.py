@@ -3,8 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
 stage's result as Parquet in the shared folder and reads it again for the next one.
 All stages but the last return the columns of documents; the last adds the token ids
-and counts. Null, empty, repeated and extra-column rows are treated as each operator
-says: rows with a null text are scored as empty text, keep their null, and go on.
+and counts, in place of columns of those names. Null, empty, very long and repeated
+texts and further columns are treated as each operator says: a null text is scored as
+empty text, keeps its null, and goes on; of equal texts the smallest doc_id stays, and
+of equal doc_ids the row with the least hash of its other columns. Empty documents
+give an empty result; without labels every score is 0.5, so no document stays.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch, table, texts
+from tidemark.llm.common import fresh, scratch, table
 from tidemark.llm.decontaminate import drop_contaminated
 from tidemark.llm.pii_crf import mask_documents
 from tidemark.llm.piece_codec import append_ids
@@ -24,7 +27,8 @@ from tidemark.llm.simhash import keep_representatives
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise ranker scores below the cut go."""
     model = fit_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
-    return score_quality(docs, model, "_score").where(F.col("_score") >= CUT).drop("_score")
+    score = fresh(docs, "score")
+    return score_quality(docs, model, score).where(F.col(score) >= CUT).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

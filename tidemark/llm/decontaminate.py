@@ -18,8 +18,9 @@ of any size; documents are never moved.
 
 Defined results: null texts and items count as empty; an item without words is
 never found; an item or text of fewer than five words is one shingle of all its
-words; repeated rows are reported each; further columns are ignored by
-``contamination`` and kept by ``drop_contaminated``.
+words; repeated rows and items, those of one item_id among them, are reported each;
+of equally similar windows the first counts; a text of any length is read whole;
+further columns are ignored by ``contamination`` and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 23
 #: Bytes of item texts in one index; more items mean more blocks.
 INDEX_BYTES = 8_000_000
@@ -111,7 +114,11 @@ class Index:
         flat = np.concatenate([np.zeros(0, np.uint64), *every])
         order = np.argsort(flat, kind="stable")
         self.hashes, self.owner = flat[order], owner[order]
-        self.short = any(len(w) < width for w in self.words)
+        self.short: dict[tuple[str, ...], list[int]] = {}
+        for i, w in enumerate(self.words):
+            if len(w) < width:
+                self.short.setdefault(tuple(w), []).append(i)
+        self.short_sizes = sorted({len(w) for w in self.short})
         values = np.arange(256, dtype=np.uint8)
         near = np.bitwise_count(values[:, None] ^ values[None]) <= RADIUS // 8
         blocks = self.prints.view(np.uint8).reshape(-1, 8)
@@ -133,7 +140,7 @@ def similarity(a: list[str], b: list[str], width: int = SHINGLE) -> float:
 
 
 def find_items(words: list[str], h: np.ndarray, hit: np.ndarray, index: Index, least: float) -> list[tuple[int, float, int, int]]:
-    """(item, similarity, first word, words) of each item in one document, at its best window; h: shingles, hit: those of some item."""
+    """(place of the item, similarity, first word, words) of each item in one document, at its best window; h: shingles, hit: those of some item."""
     width, n = index.width, len(words)
     lo, hi = np.searchsorted(index.hashes, h[hit], "left"), np.searchsorted(index.hashes, h[hit], "right")
     wanted = np.unique(np.concatenate([index.owner[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]))
@@ -157,26 +164,24 @@ def find_items(words: list[str], h: np.ndarray, hit: np.ndarray, index: Index, l
                 sim = similarity(words[s : s + length], index.words[item], width)
                 if sim >= least and (item not in best or (-sim, s) < (-best[item][0], best[item][1])):
                     best[item] = (sim, s, length)
-    return [(index.ids[i], *v) for i, v in sorted(best.items())]
+    return [(i, *v) for i, v in sorted(best.items())]
 
 
 def short_items(words: list[str], index: Index) -> list[tuple[int, float, int, int]]:
     """Items of fewer words than a shingle: a window of as many words equals them or shares nothing."""
-    out = []
-    for item, own in enumerate(index.words):
-        k = len(own)
-        if k < index.width:
-            at = next((s for s in range(len(words) - k + 1) if words[s : s + k] == own), -1)
-            if at >= 0:
-                out.append((index.ids[item], 1.0, at, k))
-    return out
+    out = {}
+    for k in index.short_sizes:
+        for at in range(len(words) - k + 1):
+            for item in index.short.get(tuple(words[at : at + k]), ()):
+                out.setdefault(item, (item, 1.0, at, k))
+    return list(out.values())
 
 
 SCHEMA = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 
 
-def _scan(index: Index, least: float, column: int, whole: bool):
-    """Rows of SCHEMA, or with whole, the input's columns and whether any item was found."""
+def _scan(index: Index, least: float, column: int, flag: str | None):
+    """Rows of SCHEMA, or with a flag's name, the input's columns and whether any item was found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
@@ -204,11 +209,11 @@ def _scan(index: Index, least: float, column: int, whole: bool):
                     hit = np.flatnonzero(index.hashes[place] == own)
                     found = find_items(body[i], own, hit, index, least) if len(hit) else []
                     if index.short:
-                        found = sorted({r[0]: r for r in [*found, *short_items(body[i], index)]}.values(), key=lambda r: (r[0] is None, r[0]))
+                        found = sorted({r[0]: r for r in [*found, *short_items(body[i], index)]}.values())
                     if found:
-                        out[i] = found
-                if whole:
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array([i in out for i in range(b.num_rows)])], [*b.schema.names, FLAG])
+                        out[i] = [(index.ids[r[0]], *r[1:]) for r in found]
+                if flag:
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array([i in out for i in range(b.num_rows)])], [*b.schema.names, flag])
                 else:
                     ids = b.column(0).to_pylist()
                     rows = [(ids[i], *r) for i, f in out.items() for r in f]
@@ -219,9 +224,6 @@ def _scan(index: Index, least: float, column: int, whole: bool):
     return run
 
 
-FLAG = "_contaminated"
-
-
 def indexes(benchmark: DataFrame, width: int = SHINGLE, limit: int = INDEX_BYTES) -> Iterator[Index]:
     """Indexes over blocks of items, each of about limit bytes at most."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
@@ -237,7 +239,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARI
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for index in indexes(benchmark, width, limit):
-        part = rows.mapInArrow(_scan(index, least, 1, False), SCHEMA)
+        part = rows.mapInArrow(_scan(index, least, 1, None), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -245,6 +247,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARI
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, width: int = SHINGLE, limit: int = INDEX_BYTES) -> DataFrame:
     """The rows of docs that hold no item."""
     for index in indexes(benchmark, width, limit):
-        schema = docs.withColumn(FLAG, F.lit(False)).schema
-        docs = docs.mapInArrow(_scan(index, least, docs.columns.index("text"), True), schema).where(f"not {FLAG}").drop(FLAG)
+        flag = fresh(docs, "contaminated")
+        schema = docs.withColumn(flag, F.lit(False)).schema
+        docs = docs.mapInArrow(_scan(index, least, docs.columns.index("text"), flag), schema).where(~F.col(flag)).drop(flag)
     return docs

@@ -7,8 +7,9 @@ compares neighbours in a 9 x 8 thumbnail. A text payload is stored as a raw
 greyscale image 64 samples wide, so that any byte string has a lossless image.
 
 Defined results: null text counts as empty and has one row of 64 zero bytes;
-a null or malformed image decodes to None (the query's own images never are);
-equal texts give equal values; further columns are ignored.
+a null or malformed image decodes to None (the query's own images never are), as does
+one with a sample above its maxval; equal texts, repeated rows among them, give equal
+values; a text of any length is one image; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,12 +66,14 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         return np.where(bits == 1, 0, 255).astype(np.uint8)
     if kind in (5, 6):
         flat = np.frombuffer(data, np.uint8 if top < 256 else ">u2", n, at)
+        if top not in (255, 65535) and flat.max() > top:
+            raise ValueError("a sample above maxval")
     else:
         body = b"\n".join(line.split(b"#")[0] for line in data[at - 1 :].splitlines())
         digits = [b - 48 for b in body if b in b"01"] if kind == 1 else [int(x) for x in body.split()]
+        if len(digits) < n or not all(0 <= x <= top for x in digits[:n]):
+            raise ValueError("too few samples, or one above maxval")
         flat = np.array(digits[:n], np.uint8 if top < 256 else np.uint16)
-        if len(flat) != n:
-            raise ValueError("too few samples")
         if kind == 1:
             flat = np.where(flat == 1, 0, 255).astype(np.uint8)
     return flat.reshape((h, w, 3) if channels == 3 else (h, w))
@@ -97,7 +100,7 @@ def decode_image(data: bytes | None) -> np.ndarray | None:
     """Any image that the two decoders read; None for null or malformed bytes."""
     try:
         return None if data is None else decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
-    except (ValueError, IndexError, struct.error):
+    except (ValueError, IndexError, OverflowError, struct.error):
         return None
 
 

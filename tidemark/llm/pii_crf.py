@@ -12,13 +12,17 @@ by more than any change of transitions could give back is outside in every best
 path, so paths are only sought between such tokens.
 
 Defined results: null text counts as empty and has no spans; equal texts have equal
-spans; further columns are ignored by ``find`` and kept by ``mask_documents``.
+spans; a text of any length, and a token of any length in it, is read whole in time
+proportional to it; where two base patterns match at one place both spans count, and
+the field adds none there; further columns are ignored by ``find`` and kept by
+``mask_documents``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,8 +34,9 @@ from .common import texts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("outside", *KINDS, "secret")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_SPACE = re.compile(r"\S+")
@@ -50,27 +55,34 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     at, done = text.find("@"), 0
     while at >= 0:
-        # a match holds no white space, so each stretch without any is searched by itself
-        a, b = at, at
-        while a > done and not text[a - 1].isspace():
+        # a match has one @, so each is tried once, from the first sign before it that can begin one
+        a = at
+        while a > done and text[a - 1] in _LOCAL:
             a -= 1
-        m = re.compile(r"\s").search(text, at)
-        b = m.start() if m else len(text)
-        out += [("email", m.start(), m.end()) for m in _EMAIL.finditer(text, a, b)]
-        done, at = b, text.find("@", b)
+        m = _DOMAIN.match(text, at + 1) if a < at else None
+        if m:
+            out.append(("email", a, m.end()))
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
     if _DIGIT.search(text):
-        if "." in text:
-            out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+        if "." in text:  # a match begins where digits begin: one inside them would begin earlier too
+            out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(small_part(x) for x in m.group().split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 13:
                 digits = m.group().replace(" ", "").replace("-", "")
                 if 13 <= len(digits) <= 19 and luhn(digits):
                     out.append(("card", m.start(), m.end()))
         if "+" in text:
-            out += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m.group()) <= 15]
+            out += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 9 <= sum("0" <= c <= "9" for c in m.group()) <= 15]
     return out
 
 
+def small_part(digits: str) -> bool:
+    """Is a number of any length at most 255?"""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 _DIGIT = re.compile(r"[0-9]")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _BEGINS = re.compile(r"[0-9A-Za-z+(@]")
@@ -94,12 +106,13 @@ def shape(word: str) -> tuple[str, ...]:
     if core.isalpha() or not core:
         low = core.lower()
         return (f"cue={low}",) if low in CUES else ("plain",) if core else (f"mark={word[0]}",) if word in ("=", ":", "=>") else ("sign",)
-    digits = sum(c.isdigit() for c in core)
+    digits = sum("0" <= c <= "9" for c in core)
     letters = sum(c.isalpha() for c in core)
     n = len(core)
     out = [f"length={min(n // 4, 10)}", f"digits={0 if not digits else 1 + min(digits * 4 // n, 4)}", f"letters={0 if not letters else 1 + min(letters * 4 // n, 4)}", f"count={min(digits, 16)}"]
-    pattern = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", core)))
-    out.append(f"pattern={pattern[:12]}")
+    pattern = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W0-9_]", "a", re.sub(r"[0-9]", "0", core)), flags=re.S)
+    # a longer pattern is told by the pairs of signs that it holds
+    out.append(f"pattern={pattern}" if len(pattern) <= 12 else "pairs=" + " ".join(sorted({a + b for a, b in zip(pattern, pattern[1:], strict=False)})[:40]))
     if 13 <= digits <= 19 and not letters:
         out.append("valid" if luhn("".join(c for c in core if "0" <= c <= "9")) else "invalid")
     if "@" in core:
@@ -108,7 +121,7 @@ def shape(word: str) -> tuple[str, ...]:
         out.append("plus")
     if core[0] == "(" and core[-1] == ")" and digits == n - 2:
         out.append("bracketed")
-    if core.count(".") == 3 and digits == n - 3 and all(x.isdigit() and int(x.lstrip("0")[:4] or 0) < 256 for x in core.split(".")):
+    if core.count(".") == 3 and digits == n - 3 and all(x and small_part(x) for x in core.split(".")):
         out.append("quad")
     if n >= 16 and digits and letters:
         if _HEX.fullmatch(core):
@@ -301,6 +314,24 @@ def trained() -> Field:
     return train()
 
 
+class Cover:
+    """The places that some spans cover, for one search a question."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, start: int, end: int) -> bool:
+        k = bisect_right(self.ends, start)
+        return k < len(self.starts) and self.starts[k] < end
+
+
 def added_spans(field: Field, bodies: list[str], known: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
     """Spans of the field that touch no known one, for each text."""
     words = [t.split() for t in bodies]
@@ -315,7 +346,7 @@ def added_spans(field: Field, bodies: list[str], known: list[list[tuple[str, int
         a = int(ends[i]) - len(words[i])
         own = labels[a : int(ends[i])]
         places = [m.span() for m in _NOT_SPACE.finditer(bodies[i])]
-        t = 0
+        t, taken = 0, Cover(known[i])
         while t < len(own):
             if not own[t]:
                 t += 1
@@ -327,7 +358,7 @@ def added_spans(field: Field, bodies: list[str], known: list[list[tuple[str, int
             piece = bodies[i][start:end]
             first, last = core_span(piece)
             start, end = start + first, start + last
-            if start < end and not any(x < end and start < y for _, x, y in known[i]):
+            if start < end and not taken.touches(start, end):
                 out[i].append((LABELS[own[t]], start, end))
             t = u + 1
     return out
