@@ -17,9 +17,12 @@ cannot repeat. The remaining runs are the suffixes that are sorted:
 
 Equal leading bytes never lie on two sides of a splitter, so nothing has to be
 compared across a bucket's boundaries; only an anchor of over ``hot`` runs is taken
-out of its bucket: its windows become suffixes of their own, whose sorted order may
-be cut anywhere, and are compared across the boundaries by partial counts of their
-128-bit hashes. Texts are moved twice, compressed; anchors and runs in proportion.
+out of its bucket: equal runs become one with its count, its windows become suffixes
+of their own, whose sorted order may be cut anywhere, and are compared across the
+boundaries by partial counts of their 128-bit hashes. Anchors and windows that are
+very frequent meet their counts without a shuffle by them: the counts are sent to the
+rows while they are small, as a count of them tells, and are salted beyond. Texts are
+moved twice, compressed; anchors and runs in proportion.
 
 Defined results: null text counts as empty; a row that is repeated with the same
 doc_id repeats itself; texts below ``length`` bytes lose nothing; equal texts lose
@@ -40,6 +43,8 @@ from pyspark.sql import functions as F
 from .common import scratch, texts
 
 LENGTH, GRAM, HOT = 200, 60, 65_536
+#: Rows of an anchor from which it meets its count apart from the others; leading bytes that buckets are cut by; bytes of a key that is sent, and up to which all are; salts beyond.
+FREQUENT, LEAD, KEY_BYTES, SENT, SALTS = 2_000, 32, 64, 64_000_000, 32
 #: Documents from which splitters are sampled, at most; and bytes that a step holds at once.
 SAMPLE_DOCS, HOLD = 2_000, 12_000_000
 _BASE, _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -168,14 +173,30 @@ def _inflate(column: pa.Array) -> list[bytes]:
 
 
 def sampled_splitters(rows: DataFrame, buckets: int, length: int, gram: int, most: int = SAMPLE_DOCS) -> np.ndarray:
-    """Leading eight bytes of anchors in a bounded sample of texts, at even ranks."""
-    lead = []
-    for r in rows.where(F.length("text") >= length).select("text").limit(most).toLocalIterator():
-        body = r.text.encode()
-        _, start, _, place, _ = runs_of([body], length, gram)
-        lead += [int.from_bytes(body[p : p + 8], "big") for p in (start + place).tolist()[:64]]
-    lead.sort()
-    return np.array([lead[len(lead) * k // buckets] for k in range(1, buckets)] if lead else [], np.uint64)
+    """Leading bytes of anchors in a bounded sample of texts, those of the least hashes, at even ranks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lead = []
+            for body in b.column(0).cast(pa.binary()).to_pylist():
+                _, start, _, place, _ = runs_of([body], length, gram)
+                at = (start + place).tolist()
+                lead.append([body[p : p + LEAD] for p in at[:: max(1, len(at) // 64)]])
+            yield pa.RecordBatch.from_arrays([pa.array(lead, pa.list_(pa.binary()))], ["lead"])
+
+    long = rows.where(F.octet_length("text") >= length)
+    share = long.select("key").where(F.pmod(F.xxhash64("key"), F.lit(64)) == 0).count() * 64
+    some = long.where(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < F.lit(max(1, min(1_000_003, 1_000_003 * most // max(share, 1))))).select("text")
+    lead = sorted(x for r in some.mapInArrow(run, "lead array<binary>").toArrow()["lead"].to_pylist() for x in r)
+    return np.array([lead[len(lead) * k // buckets] for k in range(1, buckets)] if lead else [], f"S{LEAD}")
+
+
+def met_by(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """rows joined with the rows of few (key and others, each key once), without dealing rows by a key that may be very frequent."""
+    if few.count() * KEY_BYTES <= SENT:
+        return rows.join(F.broadcast(few), key)
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns, F.lit(5)), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
 
 
 def cut_runs(joined: DataFrame, splitters: np.ndarray, length: int) -> DataFrame:
@@ -198,8 +219,8 @@ def cut_runs(joined: DataFrame, splitters: np.ndarray, length: int) -> DataFrame
                         key.append(k)
                         packed.append(int(runs[i]))
                         body.append(text[s : s + int(count[i]) - 1 + length])
-                        lead.append(int.from_bytes(text[p : p + 8], "big"))
-                bucket = np.searchsorted(splitters, np.array(lead, np.uint64), side="right").astype(np.int32)
+                        lead.append(text[p : p + LEAD])
+                bucket = np.searchsorted(splitters, np.array(lead, f"S{LEAD}"), side="right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(h, pa.int64()), pa.array(key, pa.int64()), pa.array(packed, pa.int64()), pa.array(body, pa.binary())], ["bucket", "h", "key", "run", "body"])
 
     return joined.select("key", "z", "want").mapInArrow(run, "bucket int, h long, key long, run long, body binary")
@@ -288,23 +309,47 @@ def _resolve(length: int):
 
 
 def hot_windows(runs: DataFrame, length: int) -> DataFrame:
-    """key, a, b of repeated windows of very frequent anchors: each window is a suffix of its own, counted by its 128-bit hash."""
+    """key, a, b of repeated windows of very frequent anchors: each window of a different run is a suffix of its own, counted by its 128-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 b = big.slice(at, 256)
-                key, start, mark = [], [], []
-                for k, packed, body in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                whole, times, start, mark = [], [], [], []
+                for w, n, body in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                     for i in range(len(body) - length + 1):
-                        key.append(k)
-                        start.append((packed >> 16 & 0x7FFFFFFF) + i)
+                        whole.append(w)
+                        times.append(n)
+                        start.append(i)
                         mark.append(hashlib.blake2b(body[i : i + length], digest_size=16).digest())
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(mark, pa.binary())], ["key", "a", "mark"])
-
-    rows = runs.mapInArrow(run, "key long, a long, mark binary")
-    often = rows.groupBy("mark").count().where("count > 1").select("mark")
-    return rows.join(often, "mark").select("key", "a", (F.col("a") + length).alias("b"))
+                yield pa.RecordBatch.from_arrays([pa.array(whole, pa.binary()), pa.array(times, pa.int64()), pa.array(start, pa.int64()), pa.array(mark, pa.binary())], ["whole", "times", "at", "mark"])
+
+    spark = runs.sparkSession
+    path = scratch(spark, "hot-runs")
+    named = runs.select("key", F.shiftrightunsigned("run", 16).bitwiseAND(F.lit(0x7FFFFFFF)).alias("start"), F.unhex(F.md5("body")).alias("whole"), "body")
+    named.write.option("compression", "zstd").parquet(path)
+    named = spark.read.parquet(path)
+    different = named.groupBy("whole").agg(F.count("*").alias("times"), F.min("body").alias("body"))
+    different.mapInArrow(run, "whole binary, times long, at long, mark binary").write.option("compression", "zstd").parquet(f"{path}-windows")
+    windows = spark.read.parquet(f"{path}-windows")
+    # a run that occurs twice repeats as a whole; of the others, windows that also occur elsewhere
+    often = windows.groupBy("mark").agg(F.sum("times").alias("n")).where("n > 1").select("mark")
+    often.write.parquet(f"{path}-often")
+    found = met_by(windows, spark.read.parquet(f"{path}-often"), "mark")
+    # a run's windows as maximal stretches, one row for each different run
+    stretches = found.groupBy("whole").agg(F.array_sort(F.collect_set("at")).alias("at"))  # at most as many as an anchor has windows
+    stretches.write.parquet(f"{path}-stretches")
+    met = met_by(named.select("key", "start", "whole"), spark.read.parquet(f"{path}-stretches"), "whole")
+    ends = met.select("key", "start", F.explode(stretch_ends("at")).alias("s"))
+    return ends.select("key", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b") + length).alias("b"))
+
+
+def stretch_ends(at: str):
+    """First and last of each maximal stretch of consecutive numbers in a sorted array column."""
+    number = F.transform(at, lambda x, i: F.struct(x.alias("x"), (x - i).alias("g")))
+    firsts = F.array_distinct(F.transform(number, lambda s: s.g))
+    mine = lambda g: F.transform(F.filter(number, lambda s: s.g == g), lambda s: s.x)
+    return F.transform(firsts, lambda g: F.struct(F.array_min(mine(g)).alias("a"), F.array_max(mine(g)).alias("b")))
 
 
 def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -331,10 +376,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     path = scratch(spark, "anchors")
     anchors(rows, length, gram).write.option("compression", "zstd").parquet(path)
     every = spark.read.parquet(path)
-    # written, so that both sides of the join below are plain exchanges and a frequent anchor's rows can be split
     every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").write.option("compression", "zstd").parquet(f"{path}-repeated")
     often = spark.read.parquet(f"{path}-repeated")
-    wanted = every.join(often, "h").select("key", F.struct("h", "run").alias("w"), (F.col("n") > hot).alias("hot"))
+    # very frequent anchors, of which there are few, meet their counts where they are; the others by a shuffle
+    frequent = often.where(F.col("n") > FREQUENT)
+    apart = met_by(every, frequent, "h")
+    rest = every.join(F.broadcast(frequent.select("h")), "h", "left_anti") if frequent.count() * KEY_BYTES <= SENT else every
+    wanted = apart.unionByName(rest.join(often.where(F.col("n") <= FREQUENT), "h")).select("key", F.struct("h", "run").alias("w"), (F.col("n") > hot).alias("hot"))
     splitters = sampled_splitters(rows, n, length, gram)
 
     def runs(want: DataFrame) -> DataFrame:
