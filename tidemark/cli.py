@@ -16,8 +16,10 @@ def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tidemark")
     p.add_argument("--root", default=".")
     s = p.add_subparsers(dest="stage", required=True)
-    for name in ("ingestion", "demo"):
-        s.add_parser(name).add_argument("--source", required=True)
+    s.add_parser("ingestion").add_argument("--source", required=True)
+    demo = s.add_parser("demo")
+    demo.add_argument("--source", required=True)
+    demo.add_argument("--years", type=int, nargs="+", default=list(range(1993, 1999)))
     s.add_parser("profiling").add_argument("--raw")
     dq = s.add_parser("dq")
     dq.add_argument("--data-zone", default="raw")
@@ -29,9 +31,12 @@ def main(args: list[str] | None = None) -> int:
     a = p.parse_args(args)
     project, spark = stages.Project(Path(a.root)), session()
     if a.stage in LAYERS:
-        out = stages.publish_layer(project, a.stage, LAYERS[a.stage](spark, project), stages.KEYS if a.stage == "reporting" else None)
+        try:
+            out = stages.publish_layer(project, a.stage, LAYERS[a.stage](spark, project), stages.KEYS if a.stage == "reporting" else None)
+        except (ValueError, OSError) as e:
+            out = {"status": "FAILED", "errors": [str(e)]}
     elif a.stage == "demo":
-        done = stages.demo(spark, project, a.source)
+        done = stages.demo(spark, project, a.source, tuple(a.years))
         for name, record in done:
             print(name, record["status"])
         out = done[-1][1]
@@ -40,7 +45,7 @@ def main(args: list[str] | None = None) -> int:
             "ingestion": lambda: stages.ingest(project, a.source), "profiling": lambda: stages.profile(spark, project, a.raw), "catalog": lambda: stages.check_catalog(project), "dq": lambda: stages.check_quality(spark, project, a.data_zone, a.data_path, a.snapshot_cutoff),
             "standardization": lambda: stages.standardize_zone(spark, project), "replay": lambda: stages.snapshot_at(spark, project, a.cutoff),
         }[a.stage]()
-    print(a.stage, out["status"], *out.get("errors", ()))
+    print(a.stage, out["status"], *out.get("errors", ()), *out.get("execution_errors", ()))
     return int(out["status"] != "SUCCESS")
 
 

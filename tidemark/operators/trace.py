@@ -10,7 +10,6 @@ from ..functions.expressions import identity
 #: Per process: explicit metrics; the array of details, its kind and its identity. Fixed values.
 METRICS = {"ingestion": ("files_expected", "files_processed"), "dq": ("rules_total", "rules_passed", "rules_failed"), "standardization": ("policies_total", "policies_applied", "assets_total", "assets_copied", "assets_transformed"), "replay": ()}
 DETAILS = {"ingestion": ("files", "INGESTION_FILE", "file_name"), "dq": ("rule_results", "DQ_RULE", "rule_id"), "standardization": ("policy_results", "STANDARDIZATION_POLICY", "policy_id"), "replay": ("assets", "REPLAY_ASSET", "asset")}
-DETAIL = ["detail_id", "run_id", "detail_type", "semantic_id", "asset", "column_name", "status", "rows_total", "rows_evaluated", "rows_changed", "violations", "compliance_ratio", "input_rows", "output_rows", "attributes"]
 
 
 def metrics(records: DataFrame, process: str) -> DataFrame:

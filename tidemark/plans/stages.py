@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import canonical, short_date
-from ..operators import constraints, lineage, metrics, profiling, replay, rules, standardize, trace
+from ..operators import constraints, lineage, metrics, profiling, replay, rules, standardize, trace, validators
 from ..operators.replay import Selection
 from ..operators.rules import Rule
 from ..operators.standardize import Policy
@@ -39,19 +39,20 @@ class Project:
 def recorded(project: Project, process: str, prefix: str, head: dict, work: Callable[[dict], None]) -> dict:
     """Run a stage's work on a record; failures are recorded, and a record that cannot be written is a failure."""
     began = time.monotonic()
-    record = {"run_id": publication.run_id(prefix), "started_at": publication.now(), "status": "SUCCESS", **head, "errors": []}
+    errors = "execution_errors" if process == "dq" else "errors"
+    record = {"run_id": publication.run_id(prefix), "started_at": publication.now(), "status": "SUCCESS", **head, errors: []}
     try:
         work(record)
     except Exception as e:
         record["status"] = "FAILED"
-        record["errors"].append(str(e)[:2000])
+        record[errors].append(str(e))
     record |= {"completed_at": publication.now(), "elapsed_seconds": round(time.monotonic() - began, 6)}
     if not record.pop("_written", False):
         try:
             publication.write_record(record, project.results(process))
         except OSError as e:
             record["status"] = "FAILED"
-            record["errors"].append(f"record: {e}")
+            record[errors].append(f"record: {e}")
     return record
 
 
@@ -249,6 +250,8 @@ def snapshot_at(spark: SparkSession, project: Project, cutoff: str, zone: str =
     """A snapshot of a zone: rows are checked before they are filtered, and the record is written before the old snapshot goes."""
     target = project.path("data/snapshots", cutoff)
 
+    began = time.monotonic()
+
     def work(record: dict) -> None:
         if date.fromisoformat(cutoff).isoformat() != cutoff:
             raise ValueError("the cutoff must be in ISO form")
@@ -279,7 +282,7 @@ def snapshot_at(spark: SparkSession, project: Project, cutoff: str, zone: str =
                 raise ValueError("the source changed meanwhile")
 
         def commit() -> None:
-            publication.write_record({k: v for k, v in record.items() if k != "_written"} | {"completed_at": publication.now()}, project.results("replay"))
+            publication.write_record({k: v for k, v in record.items() if k != "_written"} | {"completed_at": publication.now(), "elapsed_seconds": round(time.monotonic() - began, 6)}, project.results("replay"))
             record["_written"] = True
 
         publication.publish(target, fill, commit)
@@ -288,28 +291,25 @@ def snapshot_at(spark: SparkSession, project: Project, cutoff: str, zone: str =
 
 
 def run_records(project: Project, process: str) -> list[dict]:
-    """Records of a process, strictly read: unique keys, a name that is the run's, known status, ordered times."""
-    out = []
+    """Records of a process, strictly read: unique keys, a name that is the run's, known status, ordered times, and the fields of a quality run."""
+    out, seen = [], {}
     for path in sorted(project.results(process).glob("*.json")):
         r = metadata.load_json(path)
-        for k in ("run_id", "started_at", "completed_at", "status"):
-            metadata.need_text(r.get(k), f"{path.name}: {k}")
-        if path.stem != r["run_id"] or r["status"] not in ("SUCCESS", "FAILED") or r["completed_at"] < r["started_at"]:
-            raise ValueError(f"{path.name}: run_id, status or times are wrong")
-        if process == "dq":
-            for x in r["rule_results"]:
-                if not (x["rows_total"] >= x["rows_evaluated"] >= x["violations"] >= 0) or (x["compliance_ratio"] is None) != (x["rows_evaluated"] == 0):
-                    raise ValueError(f"{path.name}: counts of {x['rule_id']} disagree")
+        if bad := validators.record_errors(r, process):
+            raise ValueError(f"{path.name}: {bad[0]}")
+        if path.stem != r["run_id"]:
+            raise ValueError(f"{path.name}: its run_id is {r['run_id']}")
+        if r["run_id"] in seen:
+            raise ValueError(f"{path.name}: run_id {r['run_id']} is that of {seen[r['run_id']]}")
+        seen[r["run_id"]] = path.name
         out.append(r | {"source_record": path.name})
-    if len({r["run_id"] for r in out}) != len(out):
-        raise ValueError("duplicate run_id")
     return out
 
 
 _RESULT = "rule_id string, asset string, column string, dimension string, expectation_type string, empty_policy string, status string, rows_total long, rows_evaluated long, violations long, compliance_ratio double, sample_violations array<string>"
 SCHEMAS = {
     "ingestion": "run_id string, started_at string, completed_at string, elapsed_seconds double, status string, source_path string, raw_path string, files_expected long, files_processed long, files array<struct<file_name:string,expected_sha256:string,actual_sha256:string,expected_record_count:bigint,actual_record_count:bigint,validation_status:string>>, source_record string",
-    "dq": f"run_id string, started_at string, completed_at string, elapsed_seconds double, status string, rules_total long, rules_passed long, rules_failed long, data_zone string, data_path string, snapshot_cutoff string, errors array<string>, rule_results array<struct<{_RESULT.replace(' long', ':bigint').replace(' string', ':string').replace(' double', ':double').replace(' array', ':array')}>>, source_record string",
+    "dq": f"run_id string, started_at string, completed_at string, elapsed_seconds double, status string, rules_total long, rules_passed long, rules_failed long, data_zone string, data_path string, snapshot_cutoff string, execution_errors array<string>, rule_results array<struct<{_RESULT.replace(' long', ':bigint').replace(' string', ':string').replace(' double', ':double').replace(' array', ':array')}>>, source_record string",
     "standardization": "run_id string, started_at string, completed_at string, elapsed_seconds double, status string, policies_total long, policies_applied long, assets_total long, assets_copied long, assets_transformed long, trusted_path string, policy_results array<struct<policy_id:string,asset:string,column:string,transformation_type:string,rows_total:bigint,rows_evaluated:bigint,rows_changed:bigint,rows_unchanged:bigint,sample_changes:array<struct<before:string,after:string>>>>, source_record string",
     "replay": "run_id string, started_at string, completed_at string, elapsed_seconds double, status string, cutoff string, source_zone string, source_path string, snapshot_path string, assets array<struct<asset:string,strategy:string,input_rows:bigint,output_rows:bigint>>, source_record string",
 }
@@ -329,15 +329,18 @@ _ntz = lambda c: F.to_timestamp(F.col(c)).cast("timestamp_ntz")
 def history(spark: SparkSession, project: Project) -> dict[str, DataFrame]:
     """dq_runs and dq_rule_results."""
     r = frame(spark, project, "dq")
-    head = r.select("run_id", _ntz("started_at").alias("started_at"), _ntz("completed_at").alias("completed_at"), "elapsed_seconds", "status", "rules_total", "rules_passed", "rules_failed", F.coalesce(F.size("errors"), F.lit(0)).cast("long").alias("execution_error_count"), "source_record", "data_zone", "data_path", F.to_date("snapshot_cutoff").alias("snapshot_cutoff"))
+    head = r.select("run_id", _ntz("started_at").alias("started_at"), _ntz("completed_at").alias("completed_at"), "elapsed_seconds", "status", "rules_total", "rules_passed", "rules_failed", F.coalesce(F.size("execution_errors"), F.lit(0)).cast("long").alias("execution_error_count"), "source_record", "data_zone", "data_path", F.to_date("snapshot_cutoff").alias("snapshot_cutoff"))
     x = r.select("run_id", F.explode("rule_results").alias("x"), "source_record")
     return {"dq_runs": head, "dq_rule_results": x.select("run_id", "x.rule_id", "x.asset", F.col("x.column").alias("column_name"), "x.dimension", "x.expectation_type", "x.empty_policy", "x.status", "x.rows_total", "x.rows_evaluated", "x.violations", "x.compliance_ratio", F.to_json("x.sample_violations").alias("sample_violations"), "source_record")}
 
 
 def metric_tables(spark: SparkSession, project: Project) -> dict[str, DataFrame]:
     h = history(spark, project)
-    rows = metrics.evaluations(h["dq_runs"], h["dq_rule_results"].drop("source_record", "sample_violations"))
-    return {"dq_evaluation_metrics": rows, "dq_aggregate_metrics": metrics.aggregate(rows)}
+    results = h["dq_rule_results"].drop("source_record", "sample_violations")
+    constraints.require_none(validators.evaluation_checks(h["dq_runs"], results))
+    rows = metrics.evaluations(h["dq_runs"], results)
+    levels = metrics.aggregate(rows)
+    return {"dq_evaluation_metrics": rows, "dq_aggregate_metrics": levels, **metrics.snapshot_views(rows, levels)}
 
 
 def traces(spark: SparkSession, project: Project) -> dict[str, DataFrame]:
@@ -357,6 +360,8 @@ def traces(spark: SparkSession, project: Project) -> dict[str, DataFrame]:
 
 
 def lineage_tables(spark: SparkSession, project: Project) -> dict[str, DataFrame]:
+    """Nodes and edges of the declared metadata, valid as a graph; the code that flows stand for must be there."""
+    validators.require_contracts()
     m = metadata.load(project.root)
     declared, policies = metadata.load_list(project.path("metadata/dq_rules"), "rules"), metadata.load_list(project.path("metadata/standardization"), "policies")
     ref = lambda kind, name: [canonical({"kind": kind, "name": name})]
@@ -365,7 +370,20 @@ def lineage_tables(spark: SparkSession, project: Project) -> dict[str, DataFrame
         make([(a, ref("asset", a)) for a in m.assets], ["asset"]), make([(r["id"], r["asset"], r["column"], ref("rule", r["id"])) for r in declared], ["rule_id", "asset", "column_name"]), make([(p["id"], p["asset"], p["column"], ref("policy", p["id"])) for p in policies], ["policy_id", "asset", "column_name"]),
         make([(r["name"], r["from"]["asset"], r["from"]["column"], r["to"]["asset"], r["to"]["column"], ref("relationship", r["name"])) for r in m.relationships], ["name", "from_asset", "from_column", "to_asset", "to_column"]),
     )
-    return {"lineage_nodes": lineage.nodes(*parts), "lineage_edges": lineage.edges(*parts)}
+    n, e = lineage.nodes(*parts), lineage.edges(*parts)
+    constraints.require_none(validators.graph_checks(n, e))
+    return {"lineage_nodes": n, "lineage_edges": e}
+
+
+def published(spark: SparkSession, project: Project, layer: str, *names: str) -> dict[str, DataFrame]:
+    """Tables of a published layer; a missing one is an error."""
+    out = {}
+    for name in names:
+        path = project.path("data", layer, name)
+        if not path.is_dir():
+            raise FileNotFoundError(f"data/{layer}/{name} is missing: publish {layer} first")
+        out[name] = spark.read.parquet(str(path))
+    return out
 
 
 #: Statuses and kinds of governance declarations; fixed values.
@@ -386,11 +404,13 @@ def governance_tables(spark: SparkSession, project: Project) -> dict[str, DataFr
         if not ok:
             raise ValueError(what)
 
-    def add(kind: str, name: str, refs: list[dict]) -> None:
+    def add(kind: str, name: str, refs: list[dict], scope: dict) -> None:
         for e in refs:
             path = metadata.need_text(e.get("path"), f"{name}: evidence path")
             require(not path.startswith("/") and "\\" not in path and ":" not in path and ".." not in path.split("/") and project.path(path).is_file(), f"{name}: unsafe or missing evidence {path}")
             fields = [kind, name, e.get("type"), path, e.get("run_id"), e.get("rule_id"), e.get("policy_id")]
+            if bad := validators.evidence_errors(project.path(path), e, scope):
+                raise ValueError(f"{name}: {bad[0]}")
             key = "evidence:" + hashlib.sha256(canonical(fields).encode()).hexdigest()
             require(key not in evidence, f"{name}: evidence twice")
             evidence[key] = (key, *fields, e.get("description") or "")
@@ -401,7 +421,7 @@ def governance_tables(spark: SparkSession, project: Project) -> dict[str, DataFr
         require(r is not None and (r["asset"], r["column"]) == (i["asset"], i["column"]), f"{i['issue_id']}: its rule has another scope")
         by_id[i["issue_id"]] = i
         rows.append((i["issue_id"], i["asset"], i["column"], i["rule_id"], i["status"], metadata.need_text(i.get("description"), "description")))
-        add("ISSUE", i["issue_id"], i.get("evidence") or [])
+        add("ISSUE", i["issue_id"], i.get("evidence") or [], {"asset": i["asset"], "column": i["column"], "rule_id": i["rule_id"]})
     for d in decisions:
         name, p = d["decision_id"], d.get("policy_id")
         require(d.get("issue_id") in by_id and d.get("decision_type") in DECISION_TYPE and d.get("status") in DECISION_STATUS, f"{name}: unknown issue, type or status")
@@ -410,7 +430,8 @@ def governance_tables(spark: SparkSession, project: Project) -> dict[str, DataFr
             i = by_id[d["issue_id"]]
             require(p in policies and (policies[p]["asset"], policies[p]["column"]) == (i["asset"], i["column"]), f"{name}: its policy has another scope")
         ruled.append((name, d["issue_id"], d["decision_type"], d["status"], p, d.get("decision_date") and date.fromisoformat(str(d["decision_date"])), d.get("actor"), metadata.need_text(d.get("rationale"), "rationale")))
-        add("DECISION", name, d.get("evidence") or [])
+        i = by_id[d["issue_id"]]
+        add("DECISION", name, d.get("evidence") or [], {"asset": i["asset"], "column": i["column"], "rule_id": i["rule_id"], "policy_id": p})
     require(len({r[0] for r in ruled}) == len(ruled), "duplicate decision_id")
     for i in by_id.values():
         require(i["status"] != "RESOLVED" or any(r[1] == i["issue_id"] and r[3] == "EFFECTIVE" for r in ruled), f"{i['issue_id']}: resolved without an effective decision")
@@ -427,10 +448,11 @@ FOREIGN = [("rules", "asset", "assets"), ("dq_evaluations", "asset", "assets"),
 
 
 def report_tables(spark: SparkSession, project: Project) -> dict[str, DataFrame]:
-    """Eight reporting tables, cross-validated."""
+    """Eight reporting tables over four published layers, cross-validated."""
     from ..functions.expressions import identity
 
-    n, g, m, t = lineage_tables(spark, project)["lineage_nodes"], governance_tables(spark, project), metric_tables(spark, project), traces(spark, project)
+    n, g = published(spark, project, "lineage", "lineage_nodes")["lineage_nodes"], published(spark, project, "governance", "governance_issues", "governance_decisions")
+    m, t = published(spark, project, "metrics", "dq_evaluation_metrics", "dq_aggregate_metrics"), published(spark, project, "traceability", "execution_runs", "execution_details")
     policies = n.where("node_type = 'standardization_policy'").select(F.col("semantic_id").alias("policy_id"), F.col("asset").alias("policy_asset"), F.col("column_name").alias("policy_column"))
     levels = m["dq_aggregate_metrics"].where("aggregation_level in ('RUN', 'RUN_ASSET', 'RUN_DIMENSION')")
     out = {
@@ -455,8 +477,31 @@ def publish_layer(project: Project, name: str, tables: dict[str, DataFrame], key
     return {"status": "SUCCESS", "tables": sorted(tables)}
 
 
+#: Metadata that a project cannot do without; fixed values.
+REQUIRED = ("config/dataset_manifest.yaml", "metadata/relationships.yaml", "metadata/replay/historical_snapshot.yaml", "metadata/governance/issues.yaml", "metadata/governance/decisions.yaml")
+
+
+def preflight(project: Project, source: str | Path) -> None:
+    """Raise with the name of every folder, file, catalog or evidence that the stages would miss."""
+    lacking = [x for x in REQUIRED if not project.path(x).is_file()] + [f"metadata/{x}" for x in ("dq_rules", "standardization") if not any(project.path("metadata", x).glob("*.yaml"))]
+    if not Path(source).is_dir():
+        lacking.append(f"source folder {source}")
+    if project.path(REQUIRED[0]).is_file():
+        _, files = metadata.load_manifest(project.path(REQUIRED[0]))
+        for f in files:
+            if Path(f["name"]).name != f["name"]:
+                lacking.append(f"a plain file name instead of {f['name']}")
+            elif not (Path(source) / f["name"]).is_file():
+                lacking.append(f"source file {f['name']}")
+            if not project.path("metadata/catalog", f"{Path(f['name']).stem}.yaml").is_file():
+                lacking.append(f"metadata/catalog/{Path(f['name']).stem}.yaml")
+    if lacking:
+        raise FileNotFoundError("missing: " + ", ".join(lacking))
+
+
 def demo(spark: SparkSession, project: Project, source: str | Path, years: tuple[int, ...] = (1993, 1994, 1995, 1996, 1997, 1998)) -> list[tuple[str, dict]]:
-    """Every stage in order; the first that fails is the last."""
+    """Every stage in order; the first that fails is the last. What all of them need is looked for before the first."""
+    preflight(project, source)
     steps: list[tuple[str, Callable[[], dict]]] = [("ingestion", lambda: ingest(project, source)), ("profiling", lambda: profile(spark, project)), ("catalog", lambda: check_catalog(project)), ("dq raw", lambda: check_quality(spark, project)), ("standardization", lambda: standardize_zone(spark, project)), ("dq trusted", lambda: check_quality(spark, project, "trusted"))]
     for y in years:
         cut = f"{y}-12-31"
