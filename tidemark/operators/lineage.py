@@ -66,5 +66,39 @@ def edges(assets: DataFrame, rules: DataFrame, policies: DataFrame, relationship
 def paths(nodes_: DataFrame, edges_: DataFrame, asset: str, column: str) -> DataFrame:
     """Edges that touch a column, with the identities at both ends and in context."""
     touching = nodes_.where((F.col("asset") == asset) & (F.col("column_name") == column)).select(F.col("node_id").alias("touched"))
-    hit = edges_.join(touching, (F.col("source_node_id") == F.col("touched")) | (F.col("target_node_id") == F.col("touched")) | (F.col("context_node_id") == F.col("touched")), "left_semi")
+    ends = edges_.select("edge_id", F.explode(F.array("source_node_id", "target_node_id", "context_node_id")).alias("touched"))
+    hit = edges_.join(ends.join(touching, "touched", "left_semi").select("edge_id"), "edge_id", "left_semi")
     return hit.select("edge_type", "source_node_id", "target_node_id", "context_node_id").distinct()
+
+
+def with_ends(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
+    """Edges with the identities, zones and columns at both ends (s_, t_) and the context's semantic identity as policy_id."""
+    end = lambda p: nodes_.select(F.col("node_id").alias(f"{p}_node"), *[F.col(c).alias(f"{p}_{c}") for c in NODE[1:]])
+    context = nodes_.select(F.col("node_id").alias("context_node_id"), F.col("semantic_id").alias("policy_id"))
+    return edges_.join(end("s"), F.col("source_node_id") == F.col("s_node")).join(end("t"), F.col("target_node_id") == F.col("t_node")).join(context, "context_node_id", "left")
+
+
+def around_column(nodes_: DataFrame, edges_: DataFrame, asset: str, column: str) -> DataFrame:
+    """Flows of an asset and edges that begin at one of its columns."""
+    e = with_ends(nodes_, edges_).where((F.col("s_asset") == asset) & ((F.col("s_node_type") == "asset") | (F.col("s_column_name") == column)))
+    return e.select("edge_category", "edge_type", F.col("s_node").alias("source"), F.col("t_node").alias("target"), "context_node_id", "policy_id")
+
+
+def rules_of_column(nodes_: DataFrame, edges_: DataFrame, asset: str, column: str) -> DataFrame:
+    e = with_ends(nodes_, edges_.where("edge_type = 'evaluated_by'")).where((F.col("s_asset") == asset) & (F.col("s_column_name") == column))
+    return e.select(F.col("t_semantic_id").alias("rule_id")).distinct()
+
+
+def transformed_columns(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
+    e = with_ends(nodes_, edges_.where("edge_type = 'transformed_by'")).where("policy_id is not null")
+    return e.select(F.col("s_asset").alias("asset"), F.col("s_column_name").alias("column_name"), F.col("s_zone").alias("source_zone"), F.col("t_zone").alias("target_zone"), "policy_id")
+
+
+def snapshot_flows(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
+    e = with_ends(nodes_, edges_.where("edge_type = 'replayed_to'"))
+    return e.select(F.col("s_asset").alias("asset"), F.col("s_zone").alias("source_zone"), F.col("t_zone").alias("target_zone"))
+
+
+def references_of(nodes_: DataFrame, edges_: DataFrame, asset: str) -> DataFrame:
+    e = with_ends(nodes_, edges_.where("edge_type = 'references'")).where((F.col("s_asset") == asset) | (F.col("t_asset") == asset))
+    return e.select(F.col("s_node").alias("source"), F.col("t_node").alias("target"))

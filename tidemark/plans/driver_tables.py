@@ -212,9 +212,9 @@ def replay_counts(spark, d):
     return replay.counts(tables, selected, selections())
 
 
-@query("SELECT DISTINCT user_id AS value FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+@query("SELECT DISTINCT o_custkey AS value FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def replay_orphans(spark, d):
-    return replay.orphans(read(spark, d, "events"), "user_id", read(spark, d, "customer"), "c_custkey").unionByName(replay.orphans(read(spark, d, "labels"), "doc_id", read(spark, d, "documents"), "doc_id"))
+    return replay.orphans(read(spark, d, "orders"), "o_custkey", read(spark, d, "supplier"), "s_suppkey").unionByName(replay.orphans(read(spark, d, "documents"), "doc_id", read(spark, d, "labels"), "doc_id"))
 
 
 #: Runs over six year-end cutoffs, one of them twice, and two that are no snapshots; the orders of a run are those up to its cutoff.
@@ -341,24 +341,24 @@ def trace_details(spark, d):
     return trace.details(records(spark, d), "dq").select("detail_id", "run_id", "detail_type", "semantic_id", "asset", "status", "rows_total", "rows_evaluated", "violations", "compliance_ratio", "attributes")
 
 
-#: Metadata for lineage and governance; small, and written in both languages below.
-ASSETS = ["orders", "customer", "line item"]
-L_RULES = [("ORD-VAL-001", "orders", "o_orderpriority"), ("LIN-RI-001", "line item", "l_orderkey")]
-L_POLICIES = [("CUS-STD-001", "customer", "c_name")]
-RELATIONS = [("orders_customer", "orders", "o_custkey", "customer", "c_custkey"), ("lines_orders", "line item", "l_orderkey", "orders", "o_orderkey")]
-
-
-def metadata(spark) -> tuple[DataFrame, ...]:
-    make = lambda rows, columns: spark.createDataFrame([(*r, ["{}"]) for r in rows], ", ".join(f"{c} string" for c in columns) + ", evidence array<string>")
-    return make([(a,) for a in ASSETS], ["asset"]), make(L_RULES, ["rule_id", "asset", "column_name"]), make(L_POLICIES, ["policy_id", "asset", "column_name"]), make(RELATIONS, ["name", "from_asset", "from_column", "to_asset", "to_column"])
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in rows) + f") v({names})"
+def metadata(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """Metadata for lineage, derived from the tables: assets are nations, rules and policies belong to suppliers, relationships lead to a region's first nation."""
+    name = lambda: F.translate("n_name", "_", " ")
+    refs = F.array(F.lit("{}")).alias("evidence")
+    nation, supplier = read(spark, d, "nation"), read(spark, d, "supplier")
+    scoped = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", name().alias("asset"), F.concat(F.lit("c"), F.col("s_suppkey") % 5).alias("column_name"))
+    first = nation.select(F.col("n_nationkey").alias("k"), name().alias("to_asset"))
+    links = nation.join(first, F.col("n_regionkey") == F.col("k"))
+    return (
+        nation.select(name().alias("asset"), refs), scoped.select(F.concat(F.lit("RUL-"), "s_suppkey").alias("rule_id"), "asset", "column_name", refs), scoped.where("s_suppkey % 4 = 0").select(F.concat(F.lit("POL-"), "s_suppkey").alias("policy_id"), "asset", "column_name", refs),
+        links.select(F.concat(F.lit("rel_"), "n_nationkey").alias("name"), name().alias("from_asset"), F.lit("region").alias("from_column"), "to_asset", F.lit("key").alias("to_column"), refs),
+    )
 
 
 _enc = lambda c: f"replace({c}, ' ', '%20')"
-_LIN = f"""WITH a AS (SELECT * FROM {_values([(x,) for x in ASSETS], "asset")}), r AS (SELECT * FROM {_values(L_RULES, "rule_id, asset, column_name")}), p AS (SELECT * FROM {_values(L_POLICIES, "policy_id, asset, column_name")}), x AS (SELECT * FROM {_values(RELATIONS, "name, from_asset, from_column, to_asset, to_column")}),
+_LIN = f"""WITH a AS (SELECT replace(n_name, '_', ' ') AS asset FROM nation), r0 AS (SELECT s_suppkey, replace(n_name, '_', ' ') AS asset, 'c' || (s_suppkey % 5) AS column_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    r AS (SELECT 'RUL-' || s_suppkey AS rule_id, asset, column_name FROM r0), p AS (SELECT 'POL-' || s_suppkey AS policy_id, asset, column_name FROM r0 WHERE s_suppkey % 4 = 0),
+    x AS (SELECT 'rel_' || f.n_nationkey AS name, replace(f.n_name, '_', ' ') AS from_asset, 'region' AS from_column, replace(t.n_name, '_', ' ') AS to_asset, 'key' AS to_column FROM nation f JOIN nation t ON t.n_nationkey = f.n_regionkey),
     n AS (SELECT 'asset:' || zone || ':' || {_enc("asset")} AS node_id, 'asset' AS node_type, zone, asset, NULL::VARCHAR AS column_name, NULL::VARCHAR AS semantic_id FROM a, (VALUES ('source'), ('raw'), ('trusted'), ('snapshot')) z(zone)
         UNION ALL SELECT 'rule:' || rule_id, 'dq_rule', NULL, asset, column_name, rule_id FROM r
         UNION ALL SELECT 'policy:' || policy_id, 'standardization_policy', NULL, asset, column_name, policy_id FROM p
@@ -374,60 +374,68 @@ _LIN = f"""WITH a AS (SELECT * FROM {_values([(x,) for x in ASSETS], "asset")}),
 
 @query(f"{_LIN} SELECT * FROM n")
 def lineage_nodes(spark, d):
-    return lineage.nodes(*metadata(spark))
+    return lineage.nodes(*metadata(spark, d))
 
 
 @query(f"{_LIN} SELECT * FROM e")
 def lineage_edges(spark, d):
-    return lineage.edges(*metadata(spark))
+    return lineage.edges(*metadata(spark, d))
 
 
-@query(f"{_LIN} SELECT DISTINCT edge_type, source_node_id, target_node_id, context_node_id FROM e JOIN n ON n.asset = 'customer' AND n.column_name = 'c_name' AND (n.node_id = source_node_id OR n.node_id = target_node_id OR n.node_id = context_node_id)")
+@query(f"{_LIN} SELECT DISTINCT edge_type, source_node_id, target_node_id, context_node_id FROM e JOIN (SELECT node_id FROM n JOIN (SELECT asset, column_name FROM r WHERE rule_id = 'RUL-0') b USING (asset, column_name)) n ON (n.node_id = source_node_id OR n.node_id = target_node_id OR n.node_id = context_node_id)")
 def lineage_card_paths(spark, d):
-    return lineage.paths(lineage.nodes(*metadata(spark)), lineage.edges(*metadata(spark)), "customer", "c_name")
+    """Edges that touch the column of one rule."""
+    m = metadata(spark, d)
+    bound = m[1].where("rule_id = 'RUL-0'").first()
+    return lineage.paths(lineage.nodes(*m), lineage.edges(*m), bound.asset, bound.column_name)
 
 
-ISSUES = [("GOV-ISS-001", "customer", "c_name", "CUS-VAL-001", "RESOLVED"), ("GOV-ISS-002", "orders", "o_orderpriority", "ORD-VAL-001", "OPEN"), ("GOV-ISS-003", "line item", "l_orderkey", "LIN-UNI-001", "OPEN"), ("GOV-ISS-004", "orders", "o_orderkey", "ORD-RI-001", "OPEN")]
-DECISIONS = [("GOV-DEC-001", "GOV-ISS-001", "REMEDIATION_AUTHORIZED", "EFFECTIVE", "CUS-STD-001"), ("GOV-DEC-002", "GOV-ISS-002", "REMEDIATION_WITHHELD", "ACTIVE", None), ("GOV-DEC-003", "GOV-ISS-003", "REMEDIATION_WITHHELD", "ACTIVE", None)]
-EVIDENCE = [("E1", "ISSUE", "GOV-ISS-001", "DQ_EXECUTION", "results/dq/a.json"), ("E2", "DECISION", "GOV-DEC-001", "METADATA", "metadata/p.yaml"), ("E3", "DECISION", "GOV-DEC-002", "METADATA", "metadata/q.yaml"), ("E4", "ISSUE", "GOV-ISS-999", "METADATA", "metadata/x.yaml")]
-_I, _D, _E = "issue_id, asset, column_name, rule_id, status", "decision_id, issue_id, decision_type, status, policy_id", "evidence_id, parent_type, parent_id, evidence_type, path"
+#: Governance over the tables, in both languages: an issue for each nation, decisions by suppliers, evidence from customers; some parents do not exist.
+_ISSUES = "SELECT concat('GOV-ISS-', lpad(cast(n_nationkey AS {text}), 3, '0')) AS issue_id, concat('asset_', n_regionkey) AS asset, concat('c', n_nationkey % 4) AS column_name, concat('RUL-', n_nationkey % 7) AS rule_id, CASE WHEN n_nationkey % 3 = 0 THEN 'RESOLVED' ELSE 'OPEN' END AS status FROM nation"
+_DECISIONS = "SELECT concat('GOV-DEC-', s_suppkey) AS decision_id, concat('GOV-ISS-', lpad(cast(s_nationkey AS {text}), 3, '0')) AS issue_id, CASE WHEN s_suppkey % 3 = 0 THEN 'REMEDIATION_AUTHORIZED' ELSE 'REMEDIATION_WITHHELD' END AS decision_type, CASE WHEN s_suppkey % 2 = 0 THEN 'EFFECTIVE' ELSE 'ACTIVE' END AS status, CASE WHEN s_suppkey % 3 = 0 THEN concat('POL-', s_suppkey % 5) END AS policy_id, concat('actor', s_suppkey % 4) AS actor, DATE '2026-01-01' + cast(s_suppkey % 28 AS INT) AS decision_date FROM supplier"
+_EVIDENCE = "SELECT concat('E', c_custkey) AS evidence_id, CASE WHEN c_custkey % 2 = 0 THEN 'ISSUE' ELSE 'DECISION' END AS parent_type, CASE WHEN c_custkey % 2 = 0 THEN concat('GOV-ISS-', lpad(cast(c_nationkey + CASE WHEN c_custkey % 5 = 0 THEN 20 ELSE 0 END AS {text}), 3, '0')) ELSE concat('GOV-DEC-', c_custkey % 150) END AS parent_id, CASE WHEN c_custkey % 4 < 2 THEN 'DQ_EXECUTION' ELSE 'METADATA' END AS evidence_type, concat('results/', c_custkey, '.json') AS path, concat('run-', c_custkey % 9) AS run_id, concat('RUL-', c_custkey % 7) AS rule_id, concat('POL-', c_custkey % 5) AS policy_id FROM customer"
 
 
-def _gov(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names.split(", "))) for rows, names in ((ISSUES, _I), (DECISIONS, _D), (EVIDENCE, _E)))
+def _gov(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Issues, decisions and evidence."""
+    out = []
+    for text, name in ((_ISSUES, "nation"), (_DECISIONS, "supplier"), (_EVIDENCE, "customer")):
+        head, _, _ = text.format(text="string").rpartition(" FROM ")
+        out.append(spark.sql(head + " FROM {t}", t=read(spark, d, name)))
+    return tuple(out)
 
 
-_GOV = f"WITH i AS (SELECT * FROM {_values(ISSUES, _I)}), d AS (SELECT * FROM {_values(DECISIONS, _D)}), e AS (SELECT * FROM {_values(EVIDENCE, _E)})"
+_GOV = f"WITH i AS ({_ISSUES}), d AS ({_DECISIONS}), e AS ({_EVIDENCE})".format(text="VARCHAR")
 
 
 @query(f"{_GOV} SELECT * FROM i")
 def gov_issues(spark, d):
-    return _gov(spark)[0]
+    return _gov(spark, d)[0]
 
 
 @query(f"{_GOV} SELECT * FROM i WHERE status = 'OPEN'")
 def gov_open_issues(spark, d):
-    return _gov(spark)[0].where("status = 'OPEN'")
+    return _gov(spark, d)[0].where("status = 'OPEN'")
 
 
 @query(f"{_GOV} SELECT i.issue_id, rule_id, i.status AS issue_status, decision_id, decision_type, d.status AS decision_status FROM i JOIN d USING (issue_id)")
 def gov_issue_decisions(spark, d):
-    return governance.issue_decisions(*_gov(spark)[:2])
+    return governance.issue_decisions(*_gov(spark, d)[:2])
 
 
 @query(f"{_GOV} SELECT * FROM i WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.issue_id = i.issue_id AND d.decision_type = 'REMEDIATION_AUTHORIZED' AND d.status = 'EFFECTIVE')")
 def gov_unauthorized(spark, d):
-    return governance.unauthorized(*_gov(spark)[:2])
+    return governance.unauthorized(*_gov(spark, d)[:2])
 
 
-@query(f"{_GOV} SELECT i.issue_id, evidence_id, parent_type, evidence_type, path FROM i LEFT JOIN d USING (issue_id) JOIN e ON (parent_type = 'ISSUE' AND parent_id = i.issue_id) OR (parent_type = 'DECISION' AND parent_id = decision_id)")
+@query(f"{_GOV} SELECT DISTINCT i.issue_id, evidence_id, parent_type, evidence_type, path FROM i LEFT JOIN d USING (issue_id) JOIN e ON (parent_type = 'ISSUE' AND parent_id = i.issue_id) OR (parent_type = 'DECISION' AND parent_id = decision_id)")
 def gov_evidence_or_join(spark, d):
-    return governance.issue_evidence(*_gov(spark))
+    return governance.issue_evidence(*_gov(spark, d))
 
 
 @query(f"{_GOV} SELECT e.* FROM e LEFT JOIN i ON parent_type = 'ISSUE' AND parent_id = i.issue_id LEFT JOIN d ON parent_type = 'DECISION' AND parent_id = decision_id WHERE i.issue_id IS NULL AND decision_id IS NULL")
 def gov_parentless_evidence(spark, d):
-    return governance.parentless(*_gov(spark))
+    return governance.parentless(*_gov(spark, d))
 
 
 _union = lambda parts: reduce(DataFrame.unionByName, parts)
