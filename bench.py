@@ -19,7 +19,8 @@ def main() -> None:
     spark = session("bench", f"local[{cpus}]", int(cpus), {"spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     names, queries = headline.NAMES, dict(driver_tables.QUERIES)
-    driver_tables.dq_rule_results(spark, sf_dir).write.format("noop").mode("overwrite").save()  # compiles and touches the tables
+    for name in names:  # compiles and touches the tables
+        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     took = {}
     for name in names:
         best = None

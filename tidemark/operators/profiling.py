@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,27 +11,24 @@ SAMPLES = 5
 
 
 def profile(table: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per column; one scan gives all plain counts, one grouping of (column, value) all distinct ones."""
+    """One row per column; one aggregate gives all plain counts and bounds, a grouping of (column, filled value) the distinct ones."""
     columns = columns or table.columns
-    long = table.select(F.inline(F.array(*[F.struct(F.lit(k).alias("position"), F.col(f"`{c}`").cast("string").alias("value")) for k, c in enumerate(columns)])))
-    values = long.groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
-    filled = F.col("value").isNotNull() & (F.col("value") != "")
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    found = values.groupBy("position").agg(
-        total(F.col("n")).alias("total_count"), total(F.when(F.col("value") == "", F.col("n"))).alias("empty_count"), total(F.when(F.col("value").isNull(), F.col("n"))).alias("parser_null_count"),
-        total(F.when(filled, F.col("n"))).alias("non_empty_count"), F.count_if(filled).alias("distinct_count"), F.min(F.when(filled, F.col("value"))).alias("min_observed"), F.max(F.when(filled, F.col("value"))).alias("max_observed"),
-    )
-    names = table.sparkSession.createDataFrame(list(enumerate(columns)), "position int, column_name string")
-    out = names.join(found, "position", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return out.select("column_name", *map(zero, ("total_count", "empty_count", "parser_null_count", "non_empty_count", "distinct_count")), ratio(F.col("distinct_count"), F.col("non_empty_count")).alias("uniqueness_ratio"), "min_observed", "max_observed")
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    filled = lambda c: text(c).isNotNull() & (text(c) != "")
+    aggs, rows = [F.count(F.lit(1)).alias("t")], []
+    for k, c in enumerate(columns):
+        aggs += [F.count_if(text(c) == "").alias(f"e{k}"), F.count_if(text(c).isNull()).alias(f"p{k}"), F.min(F.when(filled(c), text(c))).alias(f"a{k}"), F.max(F.when(filled(c), text(c))).alias(f"b{k}")]
+        rows.append(F.struct(F.lit(k).alias("position"), F.lit(c).alias("column_name"), F.col("t").alias("total_count"), F.col(f"e{k}").alias("empty_count"), F.col(f"p{k}").alias("parser_null_count"), (F.col("t") - F.col(f"e{k}") - F.col(f"p{k}")).alias("non_empty_count"), F.col(f"a{k}").alias("min_observed"), F.col(f"b{k}").alias("max_observed")))
+    plain = table.agg(*aggs).select(F.inline(F.array(*rows)))
+    long = table.select(F.inline(F.array(*[F.struct(F.lit(k).alias("position"), text(c).alias("value")) for k, c in enumerate(columns)]))).where("value <> ''")
+    distinct = long.distinct().groupBy("position").agg(F.count(F.lit(1)).alias("n"))
+    out = plain.join(distinct, "position", "left").withColumn("distinct_count", F.coalesce("n", F.lit(0)).cast("long"))
+    return out.select("column_name", "total_count", "empty_count", "parser_null_count", "non_empty_count", "distinct_count", ratio(F.col("distinct_count"), F.col("non_empty_count")).alias("uniqueness_ratio"), "min_observed", "max_observed")
 
 
 def profile_samples(table: DataFrame, columns: list[str] | None = None, limit: int = SAMPLES) -> DataFrame:
-    """column_name, rank, value: the first distinct filled values in order."""
-    parts = []
-    for c in columns or table.columns:
-        value = F.col("value")
-        first = table.select(F.col(f"`{c}`").cast("string").alias("value")).where("value <> ''").distinct().orderBy("value").limit(limit)
-        parts.append(first.select(F.lit(c).alias("column_name"), F.row_number().over(Window.orderBy(value)).cast("long").alias("rank"), "value"))
-    return reduce(DataFrame.unionByName, parts)
+    """column_name, rank, value: the first distinct filled values in order; one scan, ranks limited before the shuffle as well."""
+    names = columns or table.columns
+    long = table.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in names]))).where("value <> ''")
+    rank = F.row_number().over(Window.partitionBy("column_name").orderBy("value")).cast("long")
+    return long.distinct().withColumn("rank", rank).where(F.col("rank") <= limit).select("column_name", "rank", "value")
