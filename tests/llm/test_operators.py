@@ -335,15 +335,67 @@ def test_lm_beats_counts_on_held_out_texts(spark):
     assert sum(x.score for x in got) > 0.9 * sum(x.base_score for x in got)
 
 
+def test_lm_scores_equal_a_plain_version(spark):
+    r = random.Random(6)
+    words = [f"{c}{k}" for c in "pqrs" for k in range(600)]
+    rows = [(i, " ".join(r.choices(words, range(2400, 0, -1), k=r.randint(0, 40)))) for i in range(400)] + [(400, None), (401, "never seen words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    counts = maxent_lm.count_tokens(docs.where("text is not null").unionByName(spark.createDataFrame([(400, "")], docs.schema)).where(~maxent_lm.held_out("doc_id", 7)))
+    v = maxent_lm.vocabulary(counts)
+    learn = spark.createDataFrame([(i, t or "") for i, t in rows if not out(i)], docs.schema)
+    word, group = maxent_lm.train(maxent_lm.cells(learn, v), v)
+    c = Counter(w for i, t in rows if not out(i) for w in maxent_lm.tokens(t or ""))
+    assert (v.total, v.distinct) == (sum(c.values()), len(c)) and v.sizes.head < len(c)
+    z = v.sizes
+    number = {int(h): int(k) for h, k in zip(v.hashes, v.head, strict=True)}
+    head = lambda w: number.get(maxent_lm.token_hash(w), z.head)
+    end = lambda w: zlib.crc32(w[-2:]) & 0x7FFFFFFF
+    rest = [[w for w in c if head(w) == z.head and end(w) % z.rest == k] for k in range(z.rest)]
+    assert v.rest_distinct.tolist() == [len(x) for x in rest] and v.rest_total.tolist() == [sum(c[w] for w in x) for x in rest]
+
+    def plain(t):
+        ws, total = maxent_lm.tokens(t or ""), 0.0
+        for k, w in enumerate(ws):
+            b = z.before - 1 if k == 0 else head(ws[k - 1]) if head(ws[k - 1]) < z.own else z.own + end(ws[k - 1]) % z.endings
+            s = maxent_lm.SKIPS - 1 if k < 2 else end(ws[k - 2]) // z.endings % (maxent_lm.SKIPS - 1)
+            g = np.exp(group.bias + group.near[b] + group.far[s])
+            x, e = head(w), end(w) % z.rest
+            if x < z.head:
+                e_ = np.exp(word.bias + word.near[b] + word.far[s])
+                total += math.log10(g[v.classes[x]] / g.sum() * e_[x] / e_[v.classes == v.classes[x]].sum())
+            else:
+                total += math.log10(g[maxent_lm.CLASSES + e] / g.sum() * (c[w] + 1) / (sum(c[y] for y in rest[e]) + len(rest[e]) + 1))
+        return total
+
+    got = {x.doc_id: x.score for x in maxent_lm.lm_scores(docs).collect()}
+    assert all(math.isclose(got[i], plain(t), rel_tol=1e-5) for i, t in rows)
+
+
+def test_lm_cells_are_the_same_in_sorted_form(spark, docs, monkeypatch):
+    rows = maxent_lm.texts(docs)
+    v = maxent_lm.vocabulary(maxent_lm.count_tokens(rows))
+    read = lambda: Counter({(r.context, r.w): r.n for r in maxent_lm.cells(rows, v).collect()})
+    want = read()
+    monkeypatch.setattr(maxent_lm, "DENSE", 40)
+    assert read() == want and sum(want.values()) == v.total
+
+
+def test_lm_sizes_grow_with_the_vocabulary():
+    sizes = [maxent_lm.Sizes.of(n) for n in (0, 10**3, 10**6, 10**8, 10**10)]
+    assert [x.head for x in sizes] == sorted(x.head for x in sizes) and sizes[0].head == 1024 < sizes[-1].head
+    assert all(x.endings > 0 and x.rest > 0 for x in sizes)
+
+
 def test_lm_shares_sum_to_one():
-    classes = np.append(np.minimum(np.arange(maxent_lm.HEAD - 1) // 40, maxent_lm.CLASSES - 2), [maxent_lm.CLASSES - 1, maxent_lm.CLASSES])
+    z = maxent_lm.Sizes.of(10**5)
+    classes = np.append(np.minimum(np.arange(z.head - 1) // 40, maxent_lm.CLASSES - 2), maxent_lm.CLASSES - 1)
     rng = np.random.default_rng(0)
-    w, g = maxent_lm.Weights.zeros(maxent_lm.HEAD + 1), maxent_lm.Weights.zeros(maxent_lm.CLASSES + 1)
+    w, g = maxent_lm.Weights.zeros(z.head, z.before), maxent_lm.Weights.zeros(maxent_lm.CLASSES + z.rest, z.before)
     w.bias, g.bias = rng.normal(size=w.bias.shape), rng.normal(size=g.bias.shape)
     a, b = maxent_lm.log_shares(w, g, classes, np.arange(3))
-    present = np.unique(classes)
     assert np.allclose(np.exp(a).sum(-1), 1)
-    assert np.allclose((np.exp(a[..., classes] + b)).sum(-1), np.exp(a[..., present]).sum(-1))
+    assert np.allclose((np.exp(a[..., classes] + b)).sum(-1), np.exp(a[..., np.unique(classes)]).sum(-1))
 
 
 def test_contamination_equals_brute_force(spark, docs, nothing):
