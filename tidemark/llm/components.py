@@ -3,7 +3,7 @@
 Labels move along edges until every vertex hangs on the smallest vertex of its
 component. Each round is two aggregations and two joins over edges only; a
 vertex with very many neighbours is met by partial minima before the shuffle and
-by skew-aware joins after it. Lineage is cut by reliable checkpoints.
+by skew-aware joins after it. Lineage is cut by tables in the shared folder.
 """
 
 from __future__ import annotations

@@ -34,7 +34,7 @@ from .common import LOWER, scratch
 from .decontaminate import Codes, shingles
 
 #: Text bytes and texts of a chunk; elements of a bucket, about; bits of an element, and of what is left of it in one of the least number of buckets.
-CHUNK_BYTES, CHUNK_TEXTS, BUCKET, BITS, REST = 4_000_000, 50_000, 2_000_000, 48, 40
+CHUNK_BYTES, CHUNK_TEXTS, BUCKET, BITS, REST = 3_000_000, 50_000, 2_000_000, 48, 40
 #: Stands for the set of a text without words, so that such texts meet.
 NOTHING = np.uint64(1)
 
@@ -204,11 +204,11 @@ def possible(size_a, place_a, size_b, place_b, least: float):
 
 
 def star_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """a, b: each row's text and the first text under its element, if they may be similar and differ in label; rows: h, id, label, size, place."""
-    first = rows.groupBy("h").agg(F.min(F.struct("id", "label", "size", "place")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", "f")
-    met = rows.join(first, "h").where("label <> f.label")
-    ratio, share = F.lit(least), least / (1 + least)
-    fits = (F.least("size", "f.size") >= ratio * F.greatest("size", "f.size") - 1e-9) & (F.least(F.col("size") - F.col("place"), F.col("f.size") - F.col("f.place")) >= F.ceil((F.col("size") + F.col("f.size")) * share - 1e-9))
+    """a, b: each row's text and the first text under its element, if they may be similar; rows: h, id, size, place."""
+    first = rows.groupBy("h").agg(F.min(F.struct("id", "size", "place")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", "f")
+    met = rows.join(first, "h").where("id <> f.id")
+    share = least / (1 + least)
+    fits = (F.least("size", "f.size") >= F.lit(least) * F.greatest("size", "f.size") - 1e-9) & (F.least(F.col("size") - F.col("place"), F.col("f.size") - F.col("f.place")) >= F.ceil((F.col("size") + F.col("f.size")) * share - 1e-9))
     return met.where(fits).select(F.least("id", "f.id").alias("a"), F.greatest("id", "f.id").alias("b")).distinct()
 
 

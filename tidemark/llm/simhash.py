@@ -293,10 +293,10 @@ def keep_representatives(docs: DataFrame, width: int = WIDTH, least: float = SIM
     Equal texts (null counts as empty) are one to begin with; of rows with one doc_id
     and text, that with the least hash of its other columns stays. Groups are the
     components of all pairs of texts whose shingle sets are similar enough. Fingerprints
-    within the radius propose links first, as ``links`` finds them. A similar pair can
-    lie beyond any radius that block keys can afford, so rare-first prefixes then propose
-    every pair that may be similar and that verified links do not join: first one for
-    each text and element, then the rest. All proposals are verified on the whole texts.
+    within the radius propose links, as ``links`` finds them. A similar pair can lie
+    beyond any radius that block keys can afford, so rare-first prefixes propose one link
+    for each text and element too, and then every other pair that may be similar and that
+    verified links do not join. All proposals are verified on the whole texts.
     An edited word changes fewer short shingles than long ones, so fingerprints are made
     of shorter ones than those that are compared. Texts without words are one group.
     """
@@ -313,18 +313,12 @@ def keep_representatives(docs: DataFrame, width: int = WIDTH, least: float = SIM
             fps = np.array([fingerprint(shingle_hashes(t, print_width)) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    held: list[DataFrame] = []
+    def verified(proposed: DataFrame) -> DataFrame:
+        return cut(similar_links(bodies, cut(proposed), width, least))
 
-    def verify(proposed: DataFrame) -> DataFrame:
+    def labels(held: DataFrame) -> DataFrame:
         """id, label: the component of each text that verified links join to another one."""
-        held.append(cut(similar_links(bodies, cut(proposed), width, least)))
-        every = held[0]
-        for more in held[1:]:
-            every = every.unionByName(more)
-        return components(every).select(F.col("vertex").alias("id"), F.col("component").alias("label"))
-
-    def labelled(groups: DataFrame) -> DataFrame:
-        return rows.join(groups, "id", "left").withColumn("label", F.xxhash64(F.coalesce("label", "id")))
+        return components(held).select(F.col("vertex").alias("id"), F.col("component").alias("label"))
 
     prints = cut(bodies.mapInArrow(run, "id string, fp long"))
     first = prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("texts"))
@@ -333,10 +327,11 @@ def keep_representatives(docs: DataFrame, width: int = WIDTH, least: float = SIM
     within = prints.join(first.where("texts > 1"), "fp").select(F.col("first").alias("a"), F.col("id").alias("b"))
     ends = [first.select(F.col("fp").alias(k), F.col("first").alias(f"{k}_id")) for k in "ab"]
     across = found.join(ends[0], "a").join(ends[1], "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    groups = verify(within.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    near = within.unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
     rows = cut(signatures(bodies, width, least))
-    groups = verify(star_pairs(labelled(groups), least))
-    groups = verify(apart_pairs(labelled(groups), least))
+    held = verified(near.unionByName(star_pairs(rows, least)).distinct())
+    labelled = rows.join(labels(held), "id", "left").withColumn("label", F.xxhash64(F.coalesce("label", "id")))
+    groups = labels(held.unionByName(verified(apart_pairs(cut(labelled), least))))
     ranked = groups.join(one.select("id", "rank"), "id")
     least_of = ranked.groupBy("label").agg(F.min(F.struct("rank", "id")).alias("best"))
     losers = ranked.join(least_of, "label").where("id <> best.id").select("id")
