@@ -204,8 +204,12 @@ def possible(size_a, place_a, size_b, place_b, least: float):
 
 
 def star_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """a, b: each row's text and the first text under its element, if they may be similar; rows: h, id, size, place."""
-    first = rows.groupBy("h").agg(F.min(F.struct("id", "size", "place")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", "f")
+    """a, b: each row's text and the most central one under its element, if they may be similar; rows: h, id, size, place.
+
+    The text with the fewest rarer elements before the common one differs least from the others, so that in a group of
+    copies nearly all members are similar to it.
+    """
+    first = rows.groupBy("h").agg(F.min(F.struct("place", "size", "id")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", "f")
     met = rows.join(first, "h").where("id <> f.id")
     share = least / (1 + least)
     fits = (F.least("size", "f.size") >= F.lit(least) * F.greatest("size", "f.size") - 1e-9) & (F.least(F.col("size") - F.col("place"), F.col("f.size") - F.col("f.place")) >= F.ceil((F.col("size") + F.col("f.size")) * share - 1e-9))
