@@ -89,6 +89,47 @@ def test_classes_are_nested_and_valid():
     assert got == {((10, 100), (0, 1, 2)): None, ((6, 60), (3, 4)): (10, 100), ((4, 40), (5,)): (10, 100), ((6, 60), (6,)): (10, 100)}
 
 
+def test_the_slot_is_that_of_the_innermost_class(spark):
+    r = random.Random(13)
+    words = lambda k: " ".join(r.choice(["ano", "bel", "cid", "dor", "eff"]) + r.choice("xyz") for _ in range(k))
+    rows, want = [], {}
+    for n in range(20):  # reports have their text in an element of their own, after the slot of the news with a teaser in it
+        a, b, t = words(50), words(60), words(4)
+        report = n % 10 > 6
+        main = f"<p>{t}</div></div><div class=kc><p>{a}<p>{b}</div>" if report else f"<p>{a}<p>{b}</div></div>"
+        rows.append((n, "http://slots.example/x", f"<body><div class=ka><div class=kb>{main}</body>"))
+        want[n] = f"{a}\n{b}"
+    got = {x.page_id: x.text for x in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_blocks_are_template_with_the_elements_of_their_own_slot_alone(spark):
+    r = random.Random(14)
+    words = lambda k: " ".join(r.choice(["ano", "bel", "cid", "dor", "eff"]) + r.choice("xyz") for _ in range(k))
+    rows, want = [], {}
+    same = words(30)
+    for n in range(24):
+        own = [words(30) for _ in range(4)]
+        box = "<div class=kb><em>Of it</em>" + ("<div class=kc>Once more</div>" if n in (0, 2, 4) else "") + "</div>" if n % 2 == 0 else ""
+        rate = "<div class=kd>Rated</div>" if n % 3 == 0 else ""
+        line = "<p>All ratings follow our rules." if n % 3 == 0 else ""  # goes: one class with kd, both in the article's slot
+        text = [own[0], *([same] if n in (0, 2, 4) else []), *own[1:]]  # stays: kc lies in the slot of kb
+        rows.append((n, "http://chance.example/x", f"<body>{box}<article>{rate}" + "".join(f"<p>{x}" for x in text) + f"{line}</article></body>"))
+        want[n] = "\n".join(text)
+    got = {x.page_id: x.text for x in html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_classes_hold_blocks_and_know_their_depth():
+    elements = {0: (0, 9, 90, 1), 1: (0, 9, 90, 1), 2: (1, 9, 200, 4), 3: (1, 5, 50, 1), 4: (3, 3, 30, 1)}  # 2 is a row of paragraphs
+    got = html_template.nested_classes(elements, [(2, 11, 5, 50), (2, 12, 3, 30), (4, 13, 3, 30), (1, 14, 9, 90)])
+    assert {(c.vector[0], c.level, tuple(c.paths), tuple(m for _, m in c.blocks)) for c in got} == {
+        (9, 0, (0, 1), (14,)), (9, 1, (2,), ()), (5, 1, (3,), (11,)), (3, 2, (4,), (13,)), (3, 1, (), (12,)),
+    }
+    deep = {k: (max(0, k - 1), 5, 50, 1) for k in range(200_000)}
+    assert len(html_template.nested_classes(dict(reversed(deep.items())))) == 1
+
+
 def test_long_texts_are_searched_whole(spark, long_texts):
     bench = spark.createDataFrame([(1, "the the the the the the"), (2, "the x")], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.contamination(long_texts, bench).collect()} == {9}

@@ -3,16 +3,19 @@
 A page is read as a sequence of tokens: block-level elements, named by their path of
 tags and classes, and blocks of text at their paths. The pages of a host are
 compared: tokens whose occurrence vectors over the pages are equal form an
-equivalence class. A class is valid if its elements occur equally often on a page
+equivalence class. A class is valid if its members occur equally often on a page
 and hang on elements of their own class or of one other class, in whose slot they
-are nested; members that hang elsewhere are a class of their own. The class that is
-on every page is the outermost; a host with several kinds of pages has a class for
-each kind inside it. Blocks of text in a class with elements, or on nearly all pages
-of the elements they lie in, belong to the template and go. Of the slots that are
-left, the article's is the innermost element, once on a page, that holds most of the
-page's running text on most pages of its class; a page takes the innermost such
-element that it has. Elements that by tag or name are menus, adverts, comments and
-the like go as well; an element whose name says article, post or content does not.
+are nested; members that hang elsewhere are a class of their own. A block of text in
+a list or a row of paragraphs hangs on what holds the list. The class that is on
+every page is the outermost; a host with several kinds of pages has a class for each
+kind inside it. Blocks of text whose class has elements belong to the template and
+go, as do those on nearly all pages of the elements they lie in; a block that shares
+the pages of an element of some other slot by chance stays. Article slots are
+elements, once on a page, that hold most of the page's running text on most pages of
+their class; a page takes the one of the most deeply nested class that it has, and of
+one depth the innermost element. Elements that by tag or name are menus, adverts,
+comments and the like go as well; an element whose name says article, post or content
+does not.
 
 Vectors are compared by sums of page hashes, aggregated before and after the
 shuffle, so that a host of any size is a few hundred small rows: only tokens on a
@@ -22,8 +25,8 @@ are near copies of one article and the slot stays whole. Pages meet their host's
 template in a join whose large sides are split.
 
 Defined results: null html counts as empty and gives an empty text; pages with a
-null or odd url share one host; equal rows give equal rows; of equally deep slots the
-first on the page counts; a page of any length or depth is read in time proportional
+null or odd url share one host; equal rows give equal rows; of slots of equal depth,
+by class and by element, the first on the page counts; a page of any length or depth is read in time proportional
 to it; further columns are ignored.
 """
 
@@ -235,41 +238,68 @@ SENT = 32_000_000
 
 @dataclass
 class Class:
-    """Tokens of one occurrence vector, and the class in whose slot they lie."""
+    """Tokens of one occurrence vector (elements by path, blocks by path and mark), and the class in whose slot they lie: its vector, its place in the list, and how many classes lie around."""
 
     vector: tuple[int, int]
     paths: list[int]
     inside: tuple[int, int] | None
+    blocks: list[tuple[int, int]] = field(default_factory=list)
+    outer: int | None = None
+    level: int = 0
 
 
-def nested_classes(elements: dict[int, tuple]) -> list[Class]:
-    """Valid classes of elements (path: parent, pages, vector, n): equal vectors, equal counts, one class around them."""
-    vector = {p: (e[1], e[2]) for p, e in elements.items()}
-    groups: dict[tuple, list[int]] = {}
-    for p, (parent, _, _, n) in elements.items():
-        # what holds a token holds its pages; a token whose parent is of another vector lies in that class's slot
-        up = parent
-        while up in elements and up != 0 and vector[up] == vector[p]:
-            up = elements[up][0]
-        around = vector.get(up) if up in elements and vector[up] != vector[p] else None
-        groups.setdefault((vector[p], n, around), []).append(p)
-    return [Class(v, paths, around) for (v, _, around), paths in groups.items()]
-
+def nested_classes(elements: dict[int, tuple], blocks: list[tuple] = ()) -> list[Class]:
+    """Valid classes of elements (path: parent, pages, vector, n) and blocks (path, mark, pages, vector): equal vectors, equal counts, one class around them."""
+    classes: list[Class] = []
+    number: dict[tuple, int] = {}
+    of: dict[int, int] = {}
 
-def deduce(rows: list[tuple]) -> tuple[list[int], list[int]]:
-    """Paths of articles' elements and marks of template blocks, from (path, mark, parent, leaf, pages, vector, n, held) of one host."""
-    elements = {r[0]: (r[2], r[4], r[5], r[6]) for r in rows if r[1] == 0}
+    def join(up: int, vector: tuple[int, int], n: int) -> int:
+        # what holds a token holds its pages; a token whose parent is of another vector lies in that class's slot
+        outer = of.get(up)
+        if outer is not None and classes[outer].vector == vector:
+            outer = classes[outer].outer
+        c = number.setdefault((vector, n, outer), len(classes))
+        if c == len(classes):
+            around = None if outer is None else classes[outer]
+            classes.append(Class(vector, [], around and around.vector, outer=outer, level=around.level + 1 if around else 0))
+        return c
+
+    for p in elements:
+        line: dict[int, None] = {}
+        while p in elements and p not in of and p not in line:
+            line[p] = None
+            p = elements[p][0]
+        for q in reversed(line):
+            parent, pages, vector, n = elements[q]
+            of[q] = join(parent, (pages, vector), n)
+            classes[of[q]].paths.append(q)
+    once: dict[int, int] = {}
+    for path, mark_, pages, vector in blocks:
+        if path not in once:  # the innermost element around it that no page repeats
+            p, seen = path, set()
+            while p in elements and elements[p][3] > 1 and p not in seen and p not in once:
+                seen.add(p)
+                p = elements[p][0]
+            once.update(dict.fromkeys([*seen, path], once.get(p, p)))
+        classes[join(once[path], (pages, vector), 1)].blocks.append((path, mark_))
+    return classes
+
+
+def deduce(rows: list[tuple]) -> tuple[dict[int, int], list[int]]:
+    """Paths of articles' elements with the depth of their class, and marks of template blocks, from (path, mark, parent, leaf, pages, vector, n, held) of one host."""
     facts = {r[0]: r for r in rows if r[1] == 0}
-    classes = nested_classes(elements)
+    pages = {r[1]: r[4] for r in rows if r[1] != 0}
+    classes = nested_classes({p: (r[2], r[4], r[5], r[6]) for p, r in facts.items()}, [(r[0], r[1], r[4], r[5]) for r in rows if r[1] != 0 and r[4] >= EVIDENCE])
     # slots: in each class, elements that are once on its pages and hold most of their text on most of them
-    mains = [p for c in classes for p in c.paths if p and elements[p][3] == 1 and not facts[p][3] and facts[p][7] >= USUAL * facts[p][4]]
-    kinds = {c.vector for c in classes if c.vector[0] >= EVIDENCE}
-    constant = [r[1] for r in rows if r[1] != 0 and r[4] >= EVIDENCE and ((r[4], r[5]) in kinds or r[0] in elements and r[4] >= SHARE * elements[r[0]][1])]
-    return sorted(mains), sorted(set(constant))
+    mains = {p: c.level for c in classes for p in c.paths if p and facts[p][6] == 1 and not facts[p][3] and facts[p][7] >= USUAL * c.vector[0]}
+    # blocks with elements of their own class, or alone on most pages of the element they are nested in
+    constant = {m for c in classes for p, m in c.blocks if c.paths or p in facts and pages[m] >= SHARE * facts[p][4]}
+    return mains, sorted(constant)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, mains, constant for every host of pages (host, html) that has more than one different page."""
+    """host, mains, levels, constant for every host of pages (host, html) that has more than one different page."""
     tokens = page_tokens(pages)
     mix = F.pmod(F.xxhash64("page", F.lit(1)), F.lit(2**31))
     summed = tokens.groupBy("host", "path", "mark").agg(
@@ -282,21 +312,22 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         mains, constant = deduce(list(zip(*(table[c].to_pylist() for c in ("path", "mark", "parent", "leaf", "pages", "vector", "n", "held")), strict=True)))
-        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "mains": pa.array([mains], pa.list_(pa.int64())), "constant": pa.array([constant], pa.list_(pa.int64()))})
+        at = sorted(mains)
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "mains": pa.array([at], pa.list_(pa.int64())), "levels": pa.array([[mains[p] for p in at]], pa.list_(pa.int32())), "constant": pa.array([constant], pa.list_(pa.int64()))})
 
     # at most sixteen times as many tokens as an average page has, whatever the host's size
-    return often.groupBy("host").applyInArrow(run, "host string, mains array<long>, constant array<long>")
+    return often.groupBy("host").applyInArrow(run, "host string, mains array<long>, levels array<int>, constant array<long>")
 
 
 #: Share of an article's slot above which template blocks are taken for those of near copies, if they are most of its blocks too.
 COPIES = 0.4
 
 
-def main_text(source: str, mains: frozenset[int], constant: frozenset[int]) -> str:
-    """Blocks of the article's slot; pages without one fall back on their own article or main, or on all blocks."""
+def main_text(source: str, mains: dict[int, int], constant: frozenset[int]) -> str:
+    """Blocks of the article's slot (mains: path, depth of its class); pages without one fall back on their own article or main, or on all blocks."""
     page = read_page(source)
     times = Counter(page.path)
-    slot = max((i for i in range(1, len(page.path)) if page.path[i] in mains and times[page.path[i]] == 1 and not page.other[i]), key=lambda i: (page.depth[i], -i), default=0)
+    slot = max((i for i in range(1, len(page.path)) if page.path[i] in mains and times[page.path[i]] == 1 and not page.other[i]), key=lambda i: (mains[page.path[i]], page.depth[i], -i), default=0)
     if not slot:
         slot = next((i for i in range(1, len(page.path)) if page.tag[i] in ("article", "main") and not page.other[i]), 0)
     inside = [slot == 0] + [False] * (len(page.path) - 1)
@@ -314,15 +345,15 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host_of().alias("host"))
     found = cut(templates(rows.select("host", "html")))
-    size = found.agg(F.sum(F.length("host") + 8 * F.size("mains") + 8 * F.size("constant") + 32)).first()[0] or 0
+    size = found.agg(F.sum(F.length("host") + 12 * F.size("mains") + 8 * F.size("constant") + 32)).first()[0] or 0
     # pages stay where they are while all hosts' templates are small enough to be sent to them
-    joined = rows.join(F.broadcast(found) if size <= SENT else found, "host", "left").select("page_id", "url", "html", "mains", "constant")
+    joined = rows.join(F.broadcast(found) if size <= SENT else found, "host", "left").select("page_id", "url", "html", "mains", "levels", "constant")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 512):
                 b = big.slice(at, 512)
-                out = [main_text(s, frozenset(m or ()), frozenset(c or ())) for s, m, c in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+                out = [main_text(s, dict(zip(m or (), d or (), strict=True)), frozenset(c or ())) for s, m, d, c in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
