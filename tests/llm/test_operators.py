@@ -96,6 +96,41 @@ def test_token_files_round_trip(docs, nothing):
     assert wavelet.token_files(nothing, path, 2).count() == 0
 
 
+def test_pieces_are_cut_at_line_ends_and_words_go_to_the_model():
+    memo = wavelet.PieceMemo(tokenizer_path("byte_bpe_50k.json"))
+    library = memo.tokenizer
+    texts = ["One two.\nThree two.\nThree", "a b.\nC\nd"]
+    ids, counts = memo.encode_texts(wavelet.pa.array(texts))
+    assert {"two.", "\nThree", "\nC", "\nd", "b."} < set(memo.memo) and not any("\n" in x[1:] for x in memo.memo)
+    assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids] and counts.sum() == len(ids)
+
+    calls = []
+
+    class Counting:
+        model = library.model
+
+        def encode_batch_fast(self, x, **kw):
+            calls.extend(x)
+            return library.encode_batch_fast(x, **kw)
+
+    memo.tokenizer = Counting()
+    words = ["Straße", "été.", "naïve?!", "\nŒuvre", "\0First,", "plain", "\nplain.", "don't", "x1", "日本", "\n9", "...", "a<|endoftext|>b", "a....", "\0 x"]
+    got = memo.learn(words)
+    assert not any(w in c for c in calls for w in ("Straße", "été", "naïve", "Œuvre", "First", "plain"))
+    for w, raw in zip(words, got, strict=True):
+        text = w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w
+        assert np.frombuffer(raw, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_odd_lines_and_signs_equal_the_library():
+    r, memo = random.Random(7), wavelet.PieceMemo(tokenizer_path("byte_bpe_50k.json"))
+    parts = ["word", "Été", "ß", "ÿ", "ɏa", "don't", "'s", "I'll", ".", ",", "!?", "...", " ", " ", " ", "\n", "\n", "\r\n", "\t", "\x85", "\xa0", "\u2028", "\u3000", "\0", "\x1c", "7", "½", "ª", "日本", "🙂", "<|endoftext|>", "\u0301", "\u180e", "\u200b"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(6000)]
+    ids, counts = memo.encode_texts(wavelet.pa.array(texts))
+    want = [e.ids for e in memo.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 @pytest.mark.parametrize("n", [0, 1, 64, 5000])
 def test_wavelet_access_rank_select(n):
     x = np.random.default_rng(n).integers(0, 300, n)

@@ -17,9 +17,12 @@ last token by access and counts end ids by rank, and fails on a file that disagr
 
 Shards are cut by ranges of doc_id, so that reading them in order gives ascending
 doc_id; equal doc_ids are ordered by text. Texts are cut between a word and one
-following space, where the pre-tokenizer always cuts; the distinct pieces of a batch
-are told apart in Arrow, and each is encoded once by the tokenizers library and kept
-in a bounded memo. A text of any length is encoded whole.
+following space or line end, where the pre-tokenizer always cuts; the distinct pieces
+of a batch are told apart in Arrow, and each is encoded once by the tokenizers library
+and kept in a bounded memo, which a worker keeps from task to task until it reads
+files. Words of Latin letters, with or without signs after them, go straight to the
+library's model, since the pre-tokenizer leaves them whole. A text of any length is
+encoded whole.
 
 Defined results: null text counts as empty and holds the end id alone; an empty
 table has no shards; null doc_ids come first; further columns are ignored.
@@ -27,8 +30,10 @@ table has no shards; null doc_ids come first; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,24 +49,32 @@ MAGIC, HEAD = b"WVLM", 32
 #: Words of a block that has one rank.
 BLOCK = 8
 #: Pieces that a worker keeps before the older ones go.
-MEMO = 300_000
+MEMO = 450_000
 #: Text bytes and documents that a shard takes; a longer document has a shard of its own.
 SHARD_BYTES, SHARD_DOCS = 4_000_000, 65_536
 #: Text bytes that are encoded at once.
-STEP_BYTES = 3_000_000
+STEP_BYTES = 5_000_000
 _ODD = re.compile(r"\s\s|^\s|\s\Z")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 #: The same as _ODD or a NUL, with the white space that Python knows spelt out.
 _WHITE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ODD_RE2 = rf"(?s){_WHITE}{_WHITE}|\A{_WHITE}|{_WHITE}\z|\x00"
-#: How the byte-level alphabet writes a space.
-SPACE = chr(256 + 32)
+#: How the byte-level alphabet writes a space and a line end.
+SPACE, LINE = chr(256 + 32), chr(256 + 10)
+#: UTF-8 bytes, read as Latin-1, in the byte-level alphabet, as far as letters have them; a word of Latin letters, which the pre-tokenizer keeps whole, and signs after it, which it cuts off as one.
+LETTERS = {b: 256 + 33 + b - 127 for b in range(127, 161)} | {173: 256 + 67}
+_LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]{0,3})")
 
 
 def _popcount(words: np.ndarray) -> np.ndarray:
     return np.bitwise_count(words).astype(np.uint64)
 
 
+def _raw(ids: list[int]) -> bytes:
+    """Ids as little-endian uint32."""
+    return array("I", ids).tobytes()
+
+
 class WaveletMatrix:
     """Bit-planes of a sequence of ids with rank and select."""
 
@@ -81,7 +94,7 @@ class WaveletMatrix:
             words = np.frombuffer(raw + bytes(-len(raw) % 8), "<u8")
             counts = _popcount(words)
             ranks = np.concatenate([[0], np.cumsum(np.add.reduceat(counts, np.arange(0, len(words), BLOCK)))]).astype("<u4") if len(words) else np.zeros(1, "<u4")
-            low, high = now[~one], now[one]
+            low, high = np.compress(~one, now), np.compress(one, now)
             planes.append((words, ranks))
             zeros.append(len(low))
             now = np.concatenate([low, high])
@@ -117,15 +130,14 @@ class WaveletMatrix:
         """All ids in order: the planes are undone from the lowest to the highest."""
         levels = len(self.planes)
         kind = np.uint16 if levels <= 16 else np.uint32
-        out = np.zeros(self.n, kind)
+        out, back = np.zeros(self.n, kind), np.empty(self.n, kind)
         for level in range(levels - 1, -1, -1):
             one = np.unpackbits(self.planes[level][0].view(np.uint8), bitorder="little", count=self.n).view(bool)
-            z, back = self.zeros[level], np.empty(self.n, kind)
+            z = self.zeros[level]
             out[z:] |= kind(1 << (levels - 1 - level))
-            if self.n:
-                np.place(back, ~one, out[:z])
-                np.place(back, one, out[z:])
-            out = back
+            back[np.flatnonzero(one)] = out[z:]  # fails if the zeros of the file disagree
+            back[np.flatnonzero(~one)] = out[:z]
+            out, back = back, out
         return out.astype(np.uint32)
 
     def rank(self, symbol: int, upto: int) -> int:
@@ -185,8 +197,9 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, int]:
 class PieceMemo:
     """Ids of texts by the tokenizers library, each distinct piece encoded once.
 
-    A piece is a word with the space before it, kept under the word alone; other
-    pieces (a text's first, odd texts) are kept under a leading NUL and their whole.
+    A piece is a word with the space before it, kept under the word alone, or with the
+    line end before it, kept as it is; other pieces (a text's first, odd texts) are kept
+    under a leading NUL and their whole.
     """
 
     def __init__(self, path: str):
@@ -200,28 +213,55 @@ class PieceMemo:
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # does a token begin with a space?
-        self.spaced[[k for x, k in vocabulary.items() if x[:1] == SPACE]] = True
+        self.begins = np.zeros((2, max(vocabulary.values(), default=0) + 1), bool)  # does a token begin with a space, with a line end?
+        for row, sign in zip(self.begins, (SPACE, LINE), strict=True):
+            row[[k for x, k in vocabulary.items() if x[:1] == sign]] = True
         # words that could hold an added token, whose sides are matched otherwise, go alone
         signs = "".join({x.content[0] for x in self.tokenizer.get_added_tokens_decoder().values()})
         self.odd = re.compile(rf"[\s{re.escape(signs)}\0]")
+        # words of letters need no pre-tokenizer where it is the plain one and no added token begins like them
+        spec = json.loads(self.tokenizer.to_str())
+        cutter, model = spec["pre_tokenizer"] or {}, spec["model"]
+        self.direct = (
+            not spec["normalizer"] and cutter.get("type") == "ByteLevel" and not cutter["add_prefix_space"] and cutter.get("use_regex", True)
+            and model["type"] == "BPE" and not model.get("dropout") and not any(_LATIN.match(x) or x in ".,;:!?" for x in signs)
+        )
+        self.signs: dict[str, bytes] = {"": b""}
 
     def learn(self, lacking: list[str]) -> list[bytes]:
-        """Ids of some pieces. Words of visible characters go to the library as one text, since each token that begins with a space begins a word."""
+        """Ids of some pieces. Words of Latin letters go to the model; other words of visible characters go to the library as one text, since each token that begins with a space, or with a single line end, begins a word."""
         out: list[bytes | None] = [None] * len(lacking)
-        plain = [k for k, x in enumerate(lacking) if x.isprintable() and x and not self.odd.search(x)]
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join([lacking[k] for k in some])], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.spaced[ids]).tolist()
-            if len(cuts) != len(some):
-                raise ValueError("words and tokens that begin with a space differ in number")
-            raw = ids.tobytes()
-            for k, a, b in zip(some, cuts, [*cuts[1:], len(ids)], strict=True):
-                out[k] = raw[4 * a : 4 * b]
-        # an ordinary word's piece has a leading space; NUL marks all others
+        plain: tuple[list[int], list[int]] = ([], [])
+        latin, model = _LATIN.fullmatch if self.direct else lambda _: None, self.tokenizer.model
+        line = _raw([t.id for t in model.tokenize(LINE)]) if self.direct else b""
+        for k, x in enumerate(lacking):
+            lead = x[:1] if x[:1] in "\n\0" else " "
+            w = x if lead == " " else x[1:]
+            if m := latin(w):
+                word, signs = m.groups()
+                body = word if word.isascii() else word.encode().decode("latin-1").translate(LETTERS)
+                if signs not in self.signs:
+                    self.signs[signs] = _raw([t.id for t in model.tokenize(signs)])
+                ids = (self.memo.get(word) or self.old.get(word)) if signs and lead == " " else None
+                if ids is None:
+                    ids = _raw([t.id for t in model.tokenize(SPACE + body if lead == " " else body)])
+                out[k] = line + ids + self.signs[signs] if lead == "\n" else ids + self.signs[signs]
+            elif lead != "\0" and w.isprintable() and w and not self.odd.search(w):
+                plain[lead == "\n"].append(k)
+        for lead, mine, begins in zip((" ", ""), plain, self.begins, strict=True):
+            for at in range(0, len(mine), 1000):
+                some = mine[at : at + 1000]
+                ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join([lacking[k] for k in some])], add_special_tokens=False)[0].ids, "<u4")
+                cuts = np.flatnonzero(begins[ids]).tolist()
+                if len(cuts) != len(some):
+                    raise ValueError("words and tokens that begin with white space differ in number")
+                raw = ids.tobytes()
+                for k, a, b in zip(some, cuts, [*cuts[1:], len(ids)], strict=True):
+                    out[k] = raw[4 * a : 4 * b]
+        # an ordinary word's piece has a leading space; NUL marks all others but those of a line end
         other = [k for k, x in enumerate(out) if x is None]
-        for k, e in zip(other, self.tokenizer.encode_batch_fast([lacking[k][1:] if lacking[k][:1] == "\0" else " " + lacking[k] for k in other], add_special_tokens=False), strict=True):
+        bodies = [x[1:] if x[:1] == "\0" else x if x[:1] == "\n" else " " + x for x in (lacking[k] for k in other)]
+        for k, e in zip(other, self.tokenizer.encode_batch_fast(bodies, add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, "<u4").tobytes()
         return out
 
@@ -231,21 +271,21 @@ class PieceMemo:
         out = list(map(memo.get, pieces))
         holes = [k for k, x in enumerate(out) if x is None]
         if holes:
-            new = {pieces[k]: None for k in holes}
-            kept = {x: self.old[x] for x in new if x in self.old}
+            new = dict.fromkeys([pieces[k] for k in holes])
+            kept = {x: self.old[x] for x in new if x in self.old} if self.old else {}
             lacking = [x for x in new if x not in kept]
-            kept.update(zip(lacking, self.learn(lacking), strict=True))
-            for k in holes:
-                out[k] = kept[pieces[k]]
             memo.update(kept)
+            memo.update(zip(lacking, self.learn(lacking), strict=True))
+            for k in holes:
+                out[k] = memo[pieces[k]]
             if len(memo) > MEMO:  # what was used lately outlives one change of generation
                 self.old, self.memo = memo, {}
         return out
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        """Parts as they are kept; only a single space between two visible characters is cut at."""
-        p = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+        """Parts as they are kept; only a single space or line end between two visible characters is cut at."""
+        p = _CUT.split(text)
         p[0] = "\0" + p[0]
         if "\0" in text:  # a word that begins with NUL would be taken for another kind of piece
             p[1:] = ["\0 " + x if x[:1] == "\0" else x for x in p[1:]]
@@ -254,7 +294,7 @@ class PieceMemo:
     def encode_texts(self, bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has; no text is null."""
         odd = pc.match_substring_regex(bodies, _ODD_RE2).to_numpy(zero_copy_only=False) | (pc.binary_length(bodies).to_numpy() == 0)
-        words = pc.split_pattern(bodies, " ")
+        words = pc.split_pattern(pc.replace_substring(bodies, "\n", " \n"), " ")
         offsets, flat = words.offsets.to_numpy(), words.flatten()
         offsets = offsets - offsets[0]
         whole = [self.pieces(t) if t else [] for t in bodies.filter(pa.array(odd)).to_pylist()]
@@ -263,7 +303,7 @@ class PieceMemo:
         first[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
         plain = np.repeat(~odd, np.diff(offsets))
         coded = flat.filter(pa.array(plain & ~first)).dictionary_encode()
-        kinds = [*coded.dictionary.to_pylist(), *("\0" + x for x in flat.filter(pa.array(plain & first)).to_pylist()), *(x for p in whole for x in p)]
+        kinds = [*coded.dictionary.to_numpy(zero_copy_only=False).tolist(), *("\0" + x for x in flat.filter(pa.array(plain & first)).to_pylist()), *(x for p in whole for x in p)]
         n_words, n_first = len(coded.dictionary), int((plain & first).sum())
         number = np.empty(len(flat), np.int64)
         number[plain & ~first] = coded.indices.to_numpy()
@@ -329,7 +369,6 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, partit
                 at = upto
         if held:
             yield flush()
-        memo.memo, memo.old = {}, {}  # a worker that goes on to other work does not keep them
 
     ordered.mapInArrow(run, "part int, shard int, n_tokens long, file binary").write.parquet(path)
 
@@ -349,6 +388,7 @@ def read_shards(spark: SparkSession, path: str, end_id: int) -> DataFrame:
         total += sums[part]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece_memo.cache_clear()  # a worker that wrote files keeps its memo from task to task, one that reads them does not
         for b in batches:
             for file, part in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 matrix, ids, starts, first = unpack(file.as_buffer().to_pybytes())
